@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: The modules that hold an operator with its query and SQL, in the order of the operators.
-MODULES = ["decontaminate", "secrets", "quality", "bpe", "pii"]
+MODULES = ["decontaminate", "secrets", "quality", "html_text", "bpe", "pii"]
 
 
 def queries() -> dict:
