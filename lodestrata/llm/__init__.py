@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: The modules that hold an operator with its query and SQL, in the order of the operators.
-MODULES = ["toxicity", "ngram_join", "decontaminate", "secrets", "quality", "html_text", "warc", "bpe", "pii"]
+MODULES = ["toxicity", "ngram_join", "decontaminate", "secrets", "suffix_dedup", "quality", "html_text", "warc", "bpe", "pii"]
 
 
 def queries() -> dict:
