@@ -110,7 +110,7 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
                 held, number = following, number + 1
         return {"value": out}
 
-    map_slices(rows, work, "value string").write.option("lineSep", "\r\n\r\n").text(path)
+    map_slices(rows, work, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def parsed(value: str) -> tuple[dict[str, str], bytes] | None:
