@@ -18,8 +18,10 @@ import hashlib
 import heapq
 from collections.abc import Callable
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lodestrata.llm.common import map_slices, texts
 
@@ -147,8 +149,8 @@ def safe_cut(text: str, start: int, end: int) -> int:
     return 0
 
 
-def encode_decode(documents: DataFrame, rank_file: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
-    """Encode every text, decode the ids again, and return the id column with the asked ``outputs``: ids, decoded,
+def encode_decode(documents: DataFrame, rank_file: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("ids", "decoded"), keep: tuple[str, ...] = ()) -> DataFrame:
+    """Encode every text, decode the ids again, and return the id column, the columns to keep and the asked ``outputs``: ids, decoded,
     n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256.
 
     ``rank_file`` must be readable on every machine.  Null and empty texts have no ids and decode to the empty text.
@@ -173,14 +175,15 @@ def encode_decode(documents: DataFrame, rank_file: str, pattern: str, *, id_col:
             if "decoded_sha256" in wants:
                 got["decoded_sha256"].append(hashlib.sha256(data).hexdigest())
             if "ids" in wants:
-                got["ids"].append([int(x) for x in ids.split(",")] if ids else [])
+                got["ids"].append(np.fromstring(ids, np.int32, sep=",") if ids else [])
             if "decoded" in wants:
                 got["decoded"].append(data.decode())
-        return got | {"id": part.column("id")}
+        return {k: part.column(k) for k in part.schema.names} | got
 
-    docs = texts(documents, id_col, text_col)
-    kind = docs.schema["id"].dataType.simpleString()
-    return map_slices(docs, work, ", ".join([f"id {kind}", *(f"{k} {OUTPUTS[k]}" for k in outputs)])).withColumnRenamed("id", id_col)
+    docs = texts(documents, id_col, text_col, *[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)])
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
+    out = map_slices(docs, work, ", ".join([*kinds, *(f"{k} {OUTPUTS[k]}" for k in outputs)]))
+    return out.select(F.col("id").alias(id_col), *[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], *outputs)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -51,6 +51,24 @@ def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch |
     return df.mapInArrow(run, schema)
 
 
+def map_rows(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], column: str, size: int = SLICE_BYTES) -> DataFrame:
+    """mapInArrow that keeps the table's schema: ``work`` gets slices by the text of ``column`` and returns some of their
+    rows, or the rows with another text."""
+    prepare(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, size, column):
+                yield work(part)
+
+    return df.mapInArrow(run, df.schema)
+
+
+def filter_texts(df: DataFrame, keeps: Callable[[list[str]], list[bool]], text_col: str) -> DataFrame:
+    """The rows whose text (null as empty) ``keeps`` approves of, with all their columns; no shuffle."""
+    return map_rows(df, lambda part: part.filter(pa.array(keeps([x or "" for x in part.column(text_col).to_pylist()]), pa.bool_())), text_col)
+
+
 def slices(batch: pa.RecordBatch, size: int = SLICE_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
     if not batch.num_rows:
         return

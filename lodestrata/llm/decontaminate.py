@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import map_slices, prepare, texts
+from lodestrata.llm.common import filter_texts, map_slices, prepare, texts
 
 #: Bytes of benchmark text that one automaton may hold; a larger benchmark is scanned for in several passes.
 BLOCK_BYTES = 8 << 20
@@ -97,6 +97,45 @@ def benchmark_items(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[l
     return ids, blocks
 
 
+def scanner(benchmark: DataFrame, item_col: str, item_text_col: str, window: int) -> tuple[int, Callable]:
+    """How many blocks the benchmark has, and a function from texts to (n_words, hit runs, sorted item ids) of each, for
+    use on executors; a worker keeps one block's automaton at a time."""
+    spark = prepare(benchmark.sparkSession)
+    ids, blocks = benchmark_items(benchmark, item_col, item_text_col)
+    shared = [spark.sparkContext.broadcast((ids[b[0][0] : b[-1][0] + 1] if b else [], b)) for b in blocks]
+    ready: dict = {}
+
+    def scan(found: list[str]) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
+        n, runs, items = [0] * len(found), [[] for _ in found], [set() for _ in found]
+        for k, block in enumerate(shared):
+            if ready.get("k") != k:
+                names, own = block.value
+                ready.clear()
+                ready.update(k=k, scanner=Scanner(own, window), names=names, first=own[0][0] if own else 0)
+            for i, text in enumerate(found):
+                n[i], more, numbers = ready["scanner"].scan(text)
+                runs[i] += more
+                items[i].update(ready["names"][x - ready["first"]] for x in numbers)
+        return [(a, merged(b), sorted(c)) for a, b, c in zip(n, runs, items, strict=True)]
+
+    return len(blocks), scan
+
+
+def slice_bytes(n_blocks: int) -> int:
+    """Several blocks are built anew for each slice, so slices are larger then."""
+    return 1 << 20 if n_blocks == 1 else 16 << 20
+
+
+def n_hit(runs: list[tuple[int, int]]) -> int:
+    return sum(b - a for a, b in runs)
+
+
+def keep_uncontaminated(documents: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13) -> DataFrame:
+    """The rows that are not contaminated (see CONTAMINATED), with all their columns."""
+    _, scan = scanner(benchmark, item_col, item_text_col, window)
+    return filter_texts(documents, lambda found: [not (n_hit(runs) and 20 * n_hit(runs) >= n) for n, runs, _ in scan(found)], text_col)
+
+
 def find_benchmark(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, spans: bool = True) -> DataFrame:
     """id, n_words, n_hit, items (sorted as strings), items_sha256 (of them joined by commas) and, if asked for, spans
     (start, end of hit runs in code points) of every document.
@@ -105,37 +144,19 @@ def find_benchmark(documents: DataFrame, benchmark: DataFrame, *, id_col: str =
     The automaton's items are broadcast in blocks of at most BLOCK_BYTES; runs of several blocks are joined per row, so
     memory does not grow with the benchmark (a pass over the documents does for each block, in the same task).
     """
-    spark = prepare(documents.sparkSession)
-    ids, blocks = benchmark_items(benchmark, item_col, item_text_col)
-    shared = [spark.sparkContext.broadcast((ids[b[0][0] : b[-1][0] + 1] if b else [], b)) for b in blocks]
-    ready: dict = {}
-
-    def scanner(k: int):
-        if ready.get("k") != k:
-            names, items = shared[k].value
-            ready.clear()
-            ready.update(k=k, scanner=Scanner(items, window), names=names, first=items[0][0] if items else 0)
-        return ready["scanner"], ready["names"], ready["first"]
+    n_blocks, scan = scanner(benchmark, item_col, item_text_col, window)
 
     def work(part):
         old = part.column("text").to_pylist()
-        n, runs, items = [0] * len(old), [[] for _ in old], [set() for _ in old]
-        for k in range(len(shared)):
-            one, names, first = scanner(k)
-            for i, text in enumerate(old):
-                n[i], more, numbers = one.scan(text)
-                runs[i] += more
-                items[i].update(names[x - first] for x in numbers)
-        runs = [merged(x) for x in runs]
-        ordered = [sorted(x) for x in items]
-        out = {"id": part.column("id"), "n_words": n, "n_hit": [sum(b - a for a, b in x) for x in runs], "items": ordered, "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in ordered]}
+        found = scan(old)
+        out = {"id": part.column("id"), "n_words": [n for n, _, _ in found], "n_hit": [n_hit(runs) for _, runs, _ in found], "items": [x for _, _, x in found], "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for _, _, x in found]}
         if spans:
-            out["spans"] = [[{"start": a, "end": b} for a, b in code_points(t, x)] for t, x in zip(old, runs, strict=True)]
+            out["spans"] = [[{"start": a, "end": b} for a, b in code_points(t, runs)] for t, (_, runs, _) in zip(old, found, strict=True)]
         return out
 
     docs = texts(documents, id_col, text_col)
     schema = f"id {docs.schema['id'].dataType.simpleString()}, n_words long, n_hit long, items array<string>, items_sha256 string" + ", spans array<struct<start:int,end:int>>" * spans
-    return map_slices(docs, work, schema, size=(1 << 20) if len(blocks) == 1 else 16 << 20).withColumnRenamed("id", id_col)
+    return map_slices(docs, work, schema, size=slice_bytes(n_blocks)).withColumnRenamed("id", id_col)
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -201,6 +201,13 @@ def near_components(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     return joined.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id"))
 
 
+def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The documents without those that a component's smallest id stands for; rows of a null id stay.  Only the ids that
+    go are joined with the documents."""
+    gone = near_components(documents, id_col=id_col, text_col=text_col, shingle=shingle, num=num, den=den).filter(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
+    return documents.join(gone, id_col, "left_anti").select(documents.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return near_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -14,10 +14,10 @@ import re
 from collections import Counter
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from lodestrata.llm.common import map_slices, texts
+from lodestrata.llm.common import map_rows, map_slices, texts
 from lodestrata.llm.spans import SPANS, digest_columns, in_order, outside, redacted
 
 BASE = ["assign", "access", "hex"]
@@ -125,16 +125,16 @@ def redact_secrets(documents: DataFrame, *, text_col: str = "text", length_col:
     and ``length_col``, if the table has it, holds the new length of the texts that changed."""
 
     def work(part):
-        out = {f: part.column(f) for f in part.schema.names}
-        old = part.column("text").to_pylist()
-        out["text"] = [None if x is None else redacted(x, [(a, b, k) for k, a, b in all_spans(x, threshold)]) for x in old]
+        old = part.column(text_col).to_pylist()
+        new = [None if x is None else redacted(x, [(a, b, k) for k, a, b in all_spans(x, threshold)]) for x in old]
+        out = part.set_column(part.schema.get_field_index(text_col), part.schema.field(text_col), pa.array(new, part.schema.field(text_col).type))
+        if length_col in part.schema.names:
+            i = part.schema.get_field_index(length_col)
+            sizes = [n if x == y else len(y) for x, y, n in zip(old, new, part.column(i).to_pylist(), strict=True)]
+            out = out.set_column(i, part.schema.field(i), pa.array(sizes, part.schema.field(i).type))
         return out
 
-    kept = [c for c in documents.columns if c != text_col]
-    inner = documents.select(F.col(text_col).alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)])
-    out = map_slices(inner, work, inner.schema)
-    length = lambda c, col: F.when(F.col("text").isNotNull(), F.char_length("text").cast(documents.schema[c].dataType)).otherwise(col) if c == length_col else col
-    return out.select(*[F.col("text").alias(c) if c == text_col else length(c, F.col(f"c{kept.index(c)}")).alias(c) for c in documents.columns])
+    return map_rows(documents, work, text_col)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

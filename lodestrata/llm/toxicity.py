@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import gram_hashes, map_slices, texts, word_hashes, written
+from lodestrata.llm.common import filter_texts, gram_hashes, map_slices, texts, word_hashes, written
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -210,6 +210,19 @@ def score(documents: DataFrame, model: Model, *, id_col: str = "doc_id", text_co
     return map_slices(docs, work, f"id {docs.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
 
 
+def keep_clean(documents: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows whose score is below the threshold, with all their columns."""
+    shared = documents.sparkSession.sparkContext.broadcast((model.weights, model.bias))
+    ready: list[Model] = []
+
+    def keeps(found):
+        if not ready:
+            ready.append(Model(*shared.value))
+        return [ready[0].score(x) < threshold for x in found]
+
+    return filter_texts(documents, keeps, text_col)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scored = score(documents, train(documents, spark.read.parquet(f"{sf_dir}/labels.parquet")))
