@@ -30,9 +30,9 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
 #: Words of names that hold secrets, and how sure each is.
 SENSITIVE = {
-    "apikey": 1.0, "auth": 0.7, "bearer": 0.8, "cert": 0.4, "credential": 1.0, "credentials": 1.0, "creds": 1.0, "cookie": 0.5,
-    "key": 0.6, "pass": 0.8, "passphrase": 1.0, "passwd": 1.0, "password": 1.0, "pin": 0.5, "private": 0.6, "pw": 0.8, "pwd": 1.0,
-    "salt": 0.6, "secret": 1.0, "session": 0.4, "signature": 0.5, "signing": 0.6, "token": 1.0,
+    "accesskey": 1.0, "apikey": 1.0, "auth": 0.7, "bearer": 0.8, "cert": 0.4, "credential": 1.0, "credentials": 1.0, "creds": 1.0, "cookie": 0.5,
+    "key": 0.6, "pass": 0.8, "passphrase": 1.0, "passwd": 1.0, "password": 1.0, "pin": 0.5, "private": 0.6, "privatekey": 1.0, "pw": 0.8, "pwd": 1.0,
+    "salt": 0.6, "secret": 1.0, "secretkey": 1.0, "session": 0.4, "signature": 0.5, "signing": 0.6, "token": 1.0,
 }
 #: Literals that stand for a secret without being one.
 PLACEHOLDERS = re.compile(r"(?i)changeme|example|placeholder|your|dummy|redacted|none|null|true|false|\*{3}|x{4}|<.*>|\$\{.*\}|\{\{.*\}\}")
@@ -137,8 +137,13 @@ def redact_secrets(documents: DataFrame, *, text_col: str = "text", length_col:
     return map_rows(documents, work, text_col)
 
 
+def query_columns(documents: DataFrame) -> DataFrame:
+    """doc_id, counts and digest of the base spans, and all spans as text."""
+    return digest_columns(find_secrets(documents), "doc_id", BASE)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
-    return digest_columns(find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet")), "doc_id", BASE)
+    return query_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 QUERIES: dict[str, Callable] = {"op4_secret_scan": query}
