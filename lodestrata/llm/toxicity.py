@@ -123,7 +123,7 @@ def fit(rows: list[tuple[int, list[int]]], names: list[str], pairs: dict[tuple[s
     w, b = np.zeros(m), float(np.log(prior / (1 - prior)))
     v, c, t = w.copy(), b, 1.0
     longest = max([len(f) for _, f in rows], default=0)
-    rate = 1 / (0.25 * (longest + 1) + ridge + fairness * max([2 * (d @ d) * s for _, d, s in rows_of_pairs], default=0) + 1e-9)
+    rate = 1 / (0.25 * (longest + 1) + ridge + fairness * sum([2 * (d @ d) * s for _, d, s in rows_of_pairs]) + 1e-9)
     for _ in range(steps if n else 0):
         chance = 1 / (1 + np.exp(-np.clip(c + np.bincount(at, v[col], n), -30, 30)))
         error = weight * (chance - y)
