@@ -211,8 +211,13 @@ def redact(text: str | None, spans: list) -> str | None:
     return None if text is None else redacted(text, [(s["start"], s["end"], s["kind"]) for s in spans])
 
 
+def query_columns(documents: DataFrame) -> DataFrame:
+    """doc_id, counts and digest of the base spans, and all spans as text."""
+    return digest_columns(find_pii(documents), "doc_id", BASE)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
-    return digest_columns(find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet")), "doc_id", BASE)
+    return query_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 QUERIES: dict[str, Callable] = {"op10_pii": query}

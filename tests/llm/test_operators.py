@@ -1,0 +1,471 @@
+"""Operators against plain versions of them, on small tables with the odd cases: nulls, empty and long texts, ties,
+repeated rows, empty tables and further columns with clashing names."""
+
+import base64
+import hashlib
+import random
+import re
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+
+from lodestrata.llm import bpe, decontaminate, html_text, ngram_join, pii, quality, secrets, suffix_dedup, toxicity, warc
+from lodestrata.llm.components import components
+
+SPACED = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def sha(data):
+    return hashlib.sha256(data.encode() if isinstance(data, str) else data).hexdigest()
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and long texts, repeated rows, and columns named like the operators' own."""
+    rows = [(1, None), (2, ""), (3, "a b c"), (4, " \n\t"), (5, "word " * 30_000), (6, "same text here " * 9), (7, "same text here " * 9), (8, "é漢 \U0001f600 x"), (9, "x" * 70_000), (10, "token = \"abcdef123456\" bob@example.com"), (10, "token = \"abcdef123456\" bob@example.com")]
+    return spark.createDataFrame([(i, t, "en", "q", -1, 0.5) for i, t in rows], "doc_id long, text string, lang string, id string, n int, score double")
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], "doc_id long, text string, lang string, id string")
+
+
+# ------------------------------------------------------------------------------------------------------------ bpe
+
+
+@pytest.fixture(scope="module")
+def codec():
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.Codec(ranks, public_tokenizers.PATTERN), tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_is_tiktoken(codec, monkeypatch):
+    own, library = codec
+    rng = random.Random(1)
+    for leaf_bytes, leaf_chars in ((64, 1 << 14), (2, 40)):
+        monkeypatch.setattr(bpe, "LEAF_BYTES", leaf_bytes)
+        monkeypatch.setattr(bpe, "LEAF_CHARS", leaf_chars)
+        for _ in range(150):
+            alphabet = rng.choice(["ab", "a", "aé漢 ", " \n\tx", "abcdefghijklmnop'", " 0123'sl", ["ab's", " ", "\n", "  ", "x1", "'", "..", " é"]])
+            text = "".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 5, 200, 2000])))
+            ids = own.encode(text)
+            assert ids == library.encode_ordinary(text)
+            assert own.decode(ids).decode() == text
+
+
+def test_bpe_table(spark, odd, none, codec):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    got = bpe.encode_decode(odd, path, public_tokenizers.PATTERN, outputs=("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"), keep=("n",)).collect()
+    texts = {r.doc_id: r.text or "" for r in odd.collect()}
+    assert len(got) == odd.count()
+    for r in got:
+        ids = codec[1].encode_ordinary(texts[r.doc_id])
+        assert (r.ids, r.n_tokens, r.decoded, r.n) == (ids, len(ids), texts[r.doc_id], -1)
+        assert (r.ids_sha256, r.decoded_sha256) == (sha(",".join(map(str, ids))), sha(texts[r.doc_id]))
+    assert bpe.encode_decode(none, path, public_tokenizers.PATTERN).count() == 0
+
+
+# ----------------------------------------------------------------------------------------- secrets and personal data
+
+ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def plain_secrets(text):
+    out = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[1]) >= 6]
+    out += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    return out + [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+
+
+def plain_pii(text):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = re.sub("[^0-9]", "", m[0])
+        total = sum(int(x) if i % 2 == 0 else sum(divmod(2 * int(x), 10)) for i, x in enumerate(reversed(digits)))
+        if 12 <= len(digits) <= 19 and total % 10 == 0:
+            out.append(("card", *m.span()))
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+
+
+def test_base_spans():
+    rng = random.Random(3)
+    for _ in range(4000):
+        text = "".join(rng.choice(["token", "=", ":", " ", "'", '"', "abcdef", "0123456789abcdef", "AKIA", "ABCDEFGHIJKLMNOP", "ſecret", "x"]) for _ in range(12))
+        assert sorted(secrets.base_spans(text)) == sorted(plain_secrets(text))
+        text = "".join(rng.choice(rng.choice(["a@b.c-@..", "0123 -.", "+1 2(3).45-67", "a.b@c.d@e"])) for _ in range(rng.choice([6, 20, 60])))
+        assert sorted(pii.base_spans(text)) == sorted(plain_pii(text))
+
+
+def test_secret_lexing():
+    found = lambda text: [text[a:b] for k, a, b in secrets.all_spans(text, 0.5) if k == "literal"]
+    assert found('db_pwd = "hG7-kq2ZpX9w"') == ["hG7-kq2ZpX9w"]
+    assert found('a = "hG7kq2Zp"\nb = a + "X9wQ"\nclientCredential = b') == ["hG7kq2Zp", "X9wQ"]
+    assert found('{"privateKey": "MIIEvQIBADANBg"}') == ["MIIEvQIBADANBg"]
+    assert found('title = "hG7-kq2ZpX9w"') == [] and found('pwd = "your password here"') == [] and found("pwd = ${PWD_FROM_ENV}") == []
+    assert found("the key: remember this") == [] and found("") == []
+
+
+def test_secrets_table(odd, none):
+    got = {r.doc_id: r for r in secrets.query_columns(odd).collect()}
+    for r in odd.collect():
+        base = sorted(plain_secrets(r.text or ""), key=lambda s: (s[1], secrets.BASE.index(s[0])))
+        assert got[r.doc_id].base_sha256 == sha(",".join(f"{k}:{a}:{b}" for k, a, b in base))
+    redacted = {r.doc_id: r for r in secrets.redact_secrets(odd, length_col=None).collect()}
+    assert redacted[10].text == '[ASSIGN]" bob@example.com' and redacted[1].text is None and redacted[10].score == 0.5
+    assert secrets.query_columns(none).count() == 0 and secrets.redact_secrets(none).columns == none.columns
+
+
+def test_pii_table(odd, none):
+    got = {r.doc_id: r for r in pii.query_columns(odd).collect()}
+    for r in odd.collect():
+        base = sorted(plain_pii(r.text or ""), key=lambda s: (s[1], pii.BASE.index(s[0])))
+        assert got[r.doc_id].base_sha256 == sha(",".join(f"{k}:{a}:{b}" for k, a, b in base))
+    assert pii.query_columns(none).count() == 0
+
+
+def test_pii_added_spans(spark):
+    good = [(i, f"Contact Mr James Miller, ssn 123-45-{6000 + i}, thanks") for i in range(40)]
+    bad = [(100 + i, f"see order no 900-00-{6000 + i} today") for i in range(40)]
+    got = {r.doc_id: {s.kind for s in r.spans} for r in pii.find_pii(spark.createDataFrame(good + bad, "doc_id long, text string")).collect()}
+    assert all("national" in got[i] and "person" in got[i] for i in range(40))
+    assert not any("national" in got[100 + i] for i in range(40))
+
+
+def test_em_finds_the_bad_labeler():
+    rng = np.random.default_rng(0)
+    truth = rng.random(4000) < 0.4
+    votes = np.stack([np.where(rng.random(4000) < p, truth, ~truth) * 2 - 1 for p in (0.95, 0.9, 0.6)], 1)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    _, right, share = pii.reliabilities(patterns.astype(float), counts.astype(float))
+    assert right[0] > 0.9 and right[1] > 0.85 and right[2] < 0.7 and abs(share - 0.4) < 0.05
+
+
+# ------------------------------------------------------------------------------------------------- decontamination
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def plain_hits(docs, items, window=13):
+    own = {}
+    for i, text in items:
+        w = WORD.findall(lower(text))
+        for k in range(max(1, len(w) - window + 1) if w else 0):
+            own.setdefault(tuple(w[k : k + window]), set()).add(str(i))
+    out = []
+    for text in docs:
+        w, hit, found = WORD.findall(lower(text)), set(), set()
+        for size in {len(x) for x in own}:
+            for k in range(len(w) - size + 1):
+                if tuple(w[k : k + size]) in own:
+                    hit |= set(range(k, k + size))
+                    found |= own[tuple(w[k : k + size])]
+        out.append((len(w), len(hit), len(found), sha(",".join(sorted(found)))))
+    return out
+
+
+def test_decontamination(spark, odd, none, monkeypatch):
+    rng = random.Random(2)
+    vocabulary = ["Ab", "cé", "d-e", "漢", "7", "f"]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([0, 1, 2, 14])))) for i in range(9)] + [(9, None), (10, "same text here same text here")]
+    docs = [(100 + i, " ".join(rng.choice([*vocabulary, items[rng.randrange(9)][1]]) for _ in range(rng.choice([1, 5, 40])))) for i in range(60)] + [(r.doc_id, r.text) for r in odd.collect() if r.doc_id not in (5, 10)]
+    table, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for block in (8 << 20, 30):  # one automaton, and several blocks of items
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+        got = {r.doc_id: r for r in decontaminate.find_benchmark(table, bench).collect()}
+        for (i, text), want in zip(docs, plain_hits([t for _, t in docs], items), strict=True):
+            r = got[i]
+            assert (r.n_words, r.n_hit, len(r.items), r.items_sha256) == want
+            assert sum(len(WORD.findall(lower(text[s.start : s.end]))) for s in r.spans) == r.n_hit
+        kept = {r.doc_id for r in decontaminate.keep_uncontaminated(table, bench).collect()}
+        assert kept == {i for i, _ in docs if not (got[i].n_hit and 20 * got[i].n_hit >= got[i].n_words)}
+    empty = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.find_benchmark(odd, empty).filter("n_hit > 0").count() == 0
+    assert decontaminate.find_benchmark(none, bench).count() == 0
+
+
+# ------------------------------------------------------------------------------------------------------ n-gram join
+
+
+def plain_components(rows, shingle, num, den):
+    sets = {}
+    for i, t in rows:
+        w = SPACED.findall(lower(t))
+        sets[i] = frozenset(tuple(w[k : k + shingle]) for k in range(len(w) - shingle + 1)) if len(w) >= shingle else frozenset([tuple(w)] if w else [])
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    order = sorted(sets)
+    for i in order:
+        for j in order:
+            if i < j and sets[i] and sets[j]:
+                both = len(sets[i] & sets[j])
+                if den * both >= num * (len(sets[i]) + len(sets[j]) - both):
+                    a, b = find(i), find(j)
+                    root[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), find(i)) for i in order}
+
+
+@pytest.mark.parametrize(("shingle", "num", "den"), [(3, 90, 100), (5, 80, 100), (1, 70, 100)])
+def test_ngram_join(spark, monkeypatch, shingle, num, den):
+    monkeypatch.setattr(ngram_join, "HOT", 4)  # so that entries are given up
+    rng = random.Random(shingle)
+    rows = []
+    common = [rng.choice("abcdefgh") + str(rng.randrange(60)) for _ in range(40)]
+    for family in range(12):  # families around the threshold, with a passage that all share
+        base = [str(rng.randrange(10**6)) for _ in range(rng.choice([8, 12, 25, 60, 150, 400]))]
+        for _ in range(rng.choice([2, 5, 25])):
+            own = list(base)
+            for _ in range(int(len(base) * rng.choice([0, 0.01, 0.02, 0.03, 0.05]))):
+                k = rng.randrange(len(own))
+                own[k : k + rng.choice([0, 1])] = [str(rng.randrange(10**6))] * rng.choice([0, 1, 1])
+            if family % 2:
+                own[len(own) // 2 : len(own) // 2] = common
+            rows.append((len(rows) * 7 % 1009, " ".join(own).upper() if rng.random() < 0.2 else "\t".join(own)))
+    rows += [(2000, None), (2001, ""), (2002, " \n"), (2003, "one"), (2004, "One"), (2005, "one two"), (2006, "two one")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_components(spark.createDataFrame(rows, "doc_id long, text string"), shingle=shingle, num=num, den=den).collect()}
+    assert got == plain_components(rows, shingle, num, den)
+
+
+def test_ngram_join_odd(odd, none):
+    got = ngram_join.near_components(odd).collect()
+    assert len(got) == odd.count() and {r.doc_id: r.component_id for r in got}[7] == 6
+    kept = ngram_join.keep_one(odd)
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {1, 2, 3, 4, 5, 6, 8, 9, 10}
+    assert ngram_join.near_components(none).count() == 0
+
+
+def test_segments_meet():
+    rng, bands = np.random.default_rng(1), ngram_join.Bands(90, 100)
+    for _ in range(800):
+        x = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 600)), dtype=np.uint64))
+        most = bands.differ(len(x), bands.partner(len(x)))
+        gone, more = int(rng.integers(0, most + 1)), int(rng.integers(0, most + 1))
+        y = np.unique(np.concatenate([x[rng.permutation(len(x))[: max(0, len(x) - gone)]], rng.integers(0, 2**63, more, dtype=np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        if 100 * both >= 90 * (len(x) + len(y) - both) and not np.array_equal(x, y):
+            assert set(ngram_join.entries(x, bands)[0]) & set(ngram_join.entries(y, bands)[0])
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    edges = [(i, i + 1) for i in range(0, 200) if i % 40] + [(500, k) for k in range(501, 560)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(70)]
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# ---------------------------------------------------------------------------------------------------- suffix dedup
+
+
+def plain_dedup(rows, length=100):
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        data = (t or "").encode()
+        gone = np.zeros(len(data), bool)
+        for s in range(len(data) - length + 1):
+            w = data[s : s + length]
+            if w in seen:
+                gone[s : s + length] = True
+            seen.add(w)
+        runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        out[i] = (len(data), int(gone.sum()), runs, sha(np.frombuffer(data, np.uint8)[~gone].tobytes()))
+    return out
+
+
+@pytest.mark.parametrize("block", [1024, 5])
+def test_suffix_dedup(spark, monkeypatch, block):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    rng = random.Random(block)
+    passages = ["".join(rng.choice("abcdefg é") for _ in range(rng.choice([60, 99, 100, 101, 150, 400]))) for _ in range(12)]
+    part = lambda: rng.choice([rng.choice(passages), "".join(rng.choice("xyz") for _ in range(rng.choice([1, 30, 200]))), rng.choice(passages)[:80], "a" * rng.choice([50, 130, 300]), "ab" * 70])
+    rows = [(i * 3 % 401, "".join(part() for _ in range(rng.choice([0, 1, 3, 6])))) for i in range(200)] + [(1000, None), (1001, "")]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in suffix_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_dedup(rows)
+
+
+def test_suffix_dedup_odd(odd, none):
+    distinct = odd.dropDuplicates(["doc_id"])
+    got = {r.doc_id: r for r in suffix_dedup.drop_repeats(distinct).collect()}
+    want = plain_dedup([(r.doc_id, r.text) for r in distinct.collect() if r.doc_id not in (5, 9)])
+    assert all((got[i].n_bytes, got[i].n_removed, len(got[i].spans), got[i].kept_sha256) == w for i, w in want.items())
+    assert got[9].n_removed == 70_000 - 1 and len(got[9].spans) == 1
+    assert suffix_dedup.drop_repeats(odd).count() == odd.count() and suffix_dedup.drop_repeats(none).count() == 0
+
+
+def test_suffixes_survive_lying_hashes(monkeypatch):
+    rng = random.Random(9)
+    base = bytes(rng.choice(b"ab") for _ in range(200))
+    pieces = [bytes(base[:100] + bytes([c]) * 60) for c in b"abcabc"]
+    bounds = np.cumsum([0, *map(len, pieces)])
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    ask = lambda: suffix_dedup.same_windows(data, bounds, np.full(6, 30), np.zeros(6, np.int64), np.arange(6), np.zeros(6, np.int64), 100)
+    right = sorted(zip(*map(np.ndarray.tolist, ask()), strict=True))
+    monkeypatch.setattr(suffix_dedup, "prefix_hashes", lambda d: np.zeros(len(d) + 1, np.uint64))
+    assert sorted(zip(*map(np.ndarray.tolist, ask()), strict=True)) == right
+
+
+# ------------------------------------------------------------------------------------------------------- toxicity
+
+
+def toxic_table(spark, n=600):
+    rng = random.Random(7)
+    words, rows, labels = ["lorem", "ipsum", "dolor", "sit", "amet", "consul"], [], []
+    for i in range(n):
+        bad = rng.random() < 0.3
+        own = [rng.choice(words) + str(rng.randrange(30)) for _ in range(20)]
+        if rng.random() < (0.8 if bad else 0.1):  # the group is named mostly in toxic texts
+            own.insert(3, "muslim")
+        if bad:
+            own.insert(rng.randrange(20), rng.choice(["vilex", "vilexes", "grumpf"]))
+        rows.append((i, " ".join(own)))
+        labels.append((i, int(bad)))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_toxicity_is_counterfactually_fair(spark):
+    docs, labels = toxic_table(spark)
+    fair, plain = toxicity.train(docs, labels, fairness=50.0), toxicity.train(docs, labels, fairness=0.0)
+    change = lambda m: abs(m.score("a muslim neighbour") - m.score("a christian neighbour"))
+    assert change(plain) > 2 * change(fair) and change(fair) < 0.1
+    assert fair.score("muslim people live here") < 0.5 < fair.score("you vilex")
+    got = toxicity.score(docs, fair).join(labels, "doc_id").filter(toxicity.held_out("doc_id")).collect()
+    assert np.mean([(r.score >= 0.7) == r.toxic for r in got]) > 0.95
+
+
+def test_toxicity_odd(spark, odd, none):
+    docs, labels = toxic_table(spark, 200)
+    model = toxicity.train(docs, labels.union(labels).union(spark.createDataFrame([(None, 1), (5, None)], labels.schema)))
+    got = toxicity.score(odd, model).collect()
+    assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got)
+    unlabelled = toxicity.train(docs, labels.limit(0))
+    assert {r.score for r in toxicity.score(odd, unlabelled).collect()} == {0.5}
+    assert toxicity.keep_clean(odd, model).columns == odd.columns and toxicity.score(none, model).count() == 0
+    assert toxicity.train(none, labels).score("x") == 0.5
+
+
+# --------------------------------------------------------------------------------------------------------- quality
+
+
+def test_quality_counts(spark, odd, none):
+    rng = random.Random(4)
+    lines = ["a b c d e f g h", "x #y $z", "  ", "é 漢 \x0b w", "", "Q" * 40]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.choice([0, 1, 4, 12])))) for i in range(60)] + [(r.doc_id + 100, r.text) for r in odd.collect()]
+    got = sorted((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality.measure(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = []
+    for i, t in rows:
+        w = SPACED.findall(t or "")
+        at = {}
+        for k in range(len(w) - 7):
+            at.setdefault(tuple(w[k : k + 8]), []).append(k)
+        hit = {j for ks in at.values() if len(ks) > 1 for k in ks for j in range(k, k + 8)}
+        own = [x for x in (t or "").split("\n") if SPACED.search(x)]
+        want.append((i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(own) - len(set(own)), len(hit)))
+    assert got == sorted(want)
+
+
+def test_exact_bound():
+    assert abs(quality.upper_bound(0, 1000, 0.95) - (1 - 0.05 ** (1 / 1000))) < 1e-9
+    assert abs(quality.upper_bound(5, 100, 0.975) - 0.11283) < 1e-4 and quality.upper_bound(7, 7, 0.9) == 1.0
+
+
+def test_quality_risk_holds(spark):
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(3000):
+        good = i % 3 > 0
+        words = [f"w{rng.randrange(10**6)}" + ("" if good and rng.random() > 0.002 else "###") for _ in range(40)]
+        rows.append((i, " ".join(words), "en" if i % 2 else None))
+        labels.append((i, int(good)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = quality.judge(docs, marks).join(marks, "doc_id").collect()
+    good, bad = [r.kept for r in got if r.quality], [r.kept for r in got if not r.quality]
+    assert np.mean(good) >= 0.95 and np.mean(bad) < 0.05
+    few = quality.judge(docs.limit(50), marks)  # too few labels prove nothing
+    assert few.filter("size(rejected_by) > 0").count() == 0
+
+
+def test_quality_odd(spark, odd, none):
+    labels = spark.createDataFrame([(1, 1), (1, 1), (None, 1), (3, None)], "doc_id long, quality int")
+    got = quality.judge(odd, labels)
+    assert got.count() == odd.count() and got.filter("doc_id = 1 and (kept or n_words > 0)").count() == 0
+    assert quality.judge(none, labels).count() == 0
+
+
+# ------------------------------------------------------------------------------------------------------------ html
+
+
+def test_html_parse():
+    text = lambda page: "\n\n".join(t for t, _ in html_text.parse(page)[0])
+    assert text("") == "" and text("plain &amp; simple") == "plain & simple"
+    page = '<body><nav>menu</nav><article><h1>T &amp; t</h1><p>a\n  b<br>c<p>d <b>e<i>f</b> g</p><script>x="</p>"</script><ul><li>one<li>two</ul><div class="user-comments"><p>hey</div><form>q</form></article><footer>f</footer>'
+    assert text(page) == "T & t\n\na b c\n\nd ef g\n\none\n\ntwo"
+    assert text("<p>cut off <b>here &am") == "cut off here &am" and text("<p>tag cut <a hre") == "tag cut"
+    assert text("<main><p>m</p></main><p>out") == "m" and text("<!-- <p>no</p> --><p>yes<!-- open") == "yes"
+    assert text("<p>1 < 2 and 3<4</p>") == "1 < 2 and 3<4" and text("<div>" * 5000 + "deep") == "deep"
+    assert text('<article><p>text</p><article class="comment"><p>no</p></article></article>') == "text"
+
+
+def test_html_templates(spark, none):
+    box = "<div><div>Join us today</div><ul><li>x</ul></div>"
+    pages = [(i, f"https://u@Site.example:80/{i}", f"<p>own text {i}</p>{box}<p>all pages say this</p>") for i in range(30)]
+    pages += [(100 + i, f"http://other{i}.example/", f"<p>own text {i}</p>{box}") for i in range(30)] + [(500, None, None), (501, "odd", "")]
+    got = {r.page_id: r for r in html_text.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i].text == f"own text {i}\n\nall pages say this" for i in range(30))  # a paragraph is no container
+    assert all(got[100 + i].text == f"own text {i}\n\nJoin us today\n\nx" for i in range(30))
+    assert got[500].text == got[501].text == "" and got[500].url is None
+    assert html_text.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+# ------------------------------------------------------------------------------------------------------------ warc
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 50])
+def test_warc_round_trip(spark, tmp_path, chunk):
+    rng = random.Random(chunk)
+    rows = [(i, f"http://x/{i}\n", "".join(rng.choice(["\r\n", "WARC/1.1", "é", "漢", "a", "\r", "\n", "x y"]) for _ in range(rng.choice([0, 1, 3, 40, 300])))) for i in range(80)]
+    rows += [(900, None, None), (901, "u", ""), (902, "u", "a" * 10_000), (903, "u", "a" * 10_000), (905, "u", "WARC/1.1\r\n"), (906, "u", "\r\nWARC/1.1\r\n"), (907, "u", "\r\n\r\nWARC/1.1"), (908, "u", "x\r\n\r\nWARC/1.1\r\n\r\n")]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w", chunk=chunk)
+    got = {r.page_id: tuple(r) for r in warc.read_archives(spark, f"file://{tmp_path}/w").collect()}
+    first = {}
+    for i, _, h in rows:
+        first.setdefault(h or "", i)
+    for i, _, h in rows:
+        data, f = (h or "").encode(), first[h or ""]
+        assert got[i] == (i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if f == i else "revisit", None if f == i else f)
+
+
+def test_warc_small_payloads_do_not_revisit(spark, tmp_path):
+    table = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
+    warc.write_archives(table, f"file://{tmp_path}/w", min_bytes=5)
+    assert {r.page_id: r.refers_to for r in warc.read_archives(spark, f"file://{tmp_path}/w").collect()} == {1: None, 2: None, 3: None, 4: 3}
+    warc.write_archives(table.limit(0), f"file://{tmp_path}/e")
+    assert warc.read_archives(spark, f"file://{tmp_path}/e").count() == 0
+
+
+def test_warc_checks_digests():
+    text = warc.record_text("1", "u", "response", 1, True, 3, "X", "", b"abc", "2024-01-01T00:00:00Z")
+    fields, data = warc.parsed(text)
+    assert data == b"abc" and fields["Content-Length"] == "3"
+    with pytest.raises(ValueError, match="bytes"):
+        warc.parsed(text + "d")
