@@ -10,9 +10,12 @@ partner is met.  Whether an entry is costly is the same for all sets, so a set a
 
 Exact copies of a set are one class from the start.  Candidates are verified exactly on the texts' shingle sets:
 1. in each bucket every class against one centre (the class with the most and largest buckets): linear in the entries;
-2. for classes of one bucket that this left in different components, all pairs between the components, filtered by how
-   many entries they must share.
-So every link is either verified or joins two classes that are in one component anyhow.
+2. classes of one bucket that this left in different components have both been compared with the bucket's centre, so
+   their differences from it are known, and one of the two differs by more than a link may.  Then a link between them
+   needs more than half of the other's differences in common (see ``overlap``), which few pairs pass: they are found by
+   a prefix filter with positions on the differences, where those that the centre has not come first as the rare ones.
+So every link is either verified or joins two classes that are in one component anyhow, and the work does not grow with
+the square of a group of near copies.
 """
 
 from __future__ import annotations
@@ -112,25 +115,45 @@ def entries(own: np.ndarray, bands: Bands) -> tuple[np.ndarray, bool]:
     return (np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)), stands_in
 
 
-def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
-    if not len(a) or not len(b) or min(len(a), len(b)) * den < num * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return den * both >= num * (len(a) + len(b) - both)
+def overlap(size: Column, other: Column, n: Column, other_n: Column, num: int, den: int) -> Column:
+    """How many differences from a centre two linked sets must share: |x ^ y| = |dx| + |dy| - 2 |dx & dy| for their
+    differences dx and dy, and a link allows (den - num) / (den + num) of the sizes' sum."""
+    return F.ceil((size + other - F.floor((n + other_n) * (den - num) / (den + num))) / 2)
+
+
+def index_prefix(size: int, num: int, den: int) -> int:
+    """How many of a set's differences must be indexed so that each link to a set that is itself not linked with the
+    centre finds one of them.  With k = (den - num) / (den + num), such a set x has |dx| > k (|x| + |c|) - 1 (rounded
+    down), and |y| <= |c| + |dy|, so that |dx| + |dy| - k (|x| + |y|) > (1 - k) |dy|."""
+    least = (size * 2 * num // (den + num) + 2) // 2
+    return max(0, size - least + 1)
 
 
 def verified(pairs: DataFrame, text: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of classes that link, by the exact sets of their texts."""
+    """Pairs (a, b) with whether they link, by the exact sets of their texts; the size of b's set; how many shingles
+    they differ by; and of these, those that b alone has first, as many as a prefix filter on b needs."""
     rows = pairs.join(text.select(F.col("d").alias("a"), F.col("text").alias("text_a")), "a").join(text.select(F.col("d").alias("b"), F.col("text").alias("text")), "b")
+    bands = Bands(num, den, 1)
 
     def work(part):
         left_texts = part.column("text_a").dictionary_encode()  # a centre's text is read once for all its pairs
         left = shingle_sets(left_texts.dictionary, shingle)
         right = shingle_sets(part.column("text"), shingle)
-        good = pa.array([similar(left[i], r, num, den) for i, r in zip(left_texts.indices.to_pylist(), right, strict=True)], pa.bool_())
-        return {k: part.column(k).filter(good) for k in ("a", "b")}
-
-    return map_slices(rows.select("a", "b", "text_a", "text"), work, "a long, b long")
+        out: dict[str, list] = {k: [] for k in ("linked", "n", "size", "differing", "indexed", "probing")}
+        for i, y in zip(left_texts.indices.to_pylist(), right, strict=True):
+            x = left[i]
+            mine, its = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
+            size, linked = len(mine) + len(its), False
+            if len(x) and len(y):
+                both = len(y) - len(mine)
+                linked = den * both >= num * (len(x) + len(y) - both)
+            indexed = index_prefix(size, num, den)
+            probing = 0 if linked else min(size, bands.differ(len(y), bands.partner(len(y))) + 1)
+            for k, v in (("linked", linked), ("n", len(y)), ("size", size), ("differing", np.concatenate([mine, its])[: max(indexed, probing)].astype(np.int64)), ("indexed", indexed), ("probing", probing)):
+                out[k].append(v)
+        return {k: part.column(k) for k in ("a", "b")} | out
+
+    return map_slices(rows.select("a", "b", "text_a", "text"), work, "a long, b long, linked boolean, n int, size int, differing array<long>, indexed int, probing int")
 
 
 def near_components(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -174,26 +197,23 @@ def near_components(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
 
     centre = kept.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("d")).alias("d"))).alias("c"), F.count("*").alias("size")).filter("size > 1").select("bucket", (-F.col("c.d")).alias("a"))
     first = kept.join(centre, "bucket").filter("a <> d").select("a", F.col("d").alias("b")).distinct()
-    links = written(verified(first, text, shingle, num, den), "links")
-    if links.isEmpty():
-        reach = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    else:
-        reach = written(components(links), "reach")
-
-    # classes of one bucket in different components
-    placed = kept.join(reach, kept["d"] == reach["node"], "left").select("bucket", "d", "n", F.coalesce("component", "d").alias("component"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("bucket")
-    open_ = written(placed.join(mixed, "bucket", "left_semi"), "open")
-    left, right = open_.alias("l"), open_.alias("r")
-    small = F.least("ln", "rn")
-    need = F.greatest(F.lit(1), bands.column(small, bands.spread) - F.floor((F.col("ln") + F.col("rn")) * (den - num) / (den + num)).cast("int"))
-    pairs = (
-        left.join(right, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.component") != F.col("r.component")) & (F.col("l.d") < F.col("r.d")) & (F.least("l.n", "r.n") * den >= F.greatest("l.n", "r.n") * num))
-        .select(F.col("l.d").alias("a"), F.col("r.d").alias("b"), F.col("l.n").alias("ln"), F.col("r.n").alias("rn"))
-        .groupBy("a", "b", "ln", "rn").agg(F.count("*").alias("met")).filter(F.col("met") >= need).select("a", "b")
+    tried = written(verified(first, text, shingle, num, den), "tried")
+    links = tried.filter("linked").select("a", "b")
+    reach = written(components(links), "reach")
+
+    # sets that met the same centre and are in different components
+    apart = tried.groupBy("a").agg(F.count_if(~F.col("linked")).alias("unlinked"), F.count("*").alias("met")).filter("unlinked > 0 and met > 1").select("a")
+    members = tried.join(apart, "a", "left_semi").join(reach, F.col("b") == F.col("node"), "left").withColumn("component", F.coalesce("component", "b"))
+    each = written(members.select("a", F.posexplode("differing").alias("at", "shingle"), "b", "linked", "n", "size", "indexed", "probing", "component"), "differing")
+    x, y = each.filter(F.col("at") < F.col("probing")).alias("x"), each.filter(F.col("at") < F.col("indexed")).alias("y")
+    col = F.col
+    meet = (
+        (col("x.a") == col("y.a")) & (col("x.shingle") == col("y.shingle")) & (col("x.component") != col("y.component")) & (col("y.linked") | (col("x.b") < col("y.b")))
+        & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num)
+        & (F.least(col("x.size") - col("x.at"), col("y.size") - col("y.at")) >= overlap(col("x.size"), col("y.size"), col("x.n"), col("y.n"), num, den))
     )
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = written(verified(pairs.join(tried, ["a", "b"], "left_anti"), text, shingle, num, den), "links")
+    pairs = x.join(y, meet).select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
+    more = written(verified(pairs, text, shingle, num, den).filter("linked").select("a", "b"), "links")
     if not more.isEmpty():
         reach = components(links.unionByName(more))
     named = classes.select("s1", "s2", "n", "d", "copies").join(reach, F.col("d") == F.col("node"), "left").filter("copies > 1 or component is not null").select("s1", "s2", "n", F.coalesce("component", "d").alias("component"))
