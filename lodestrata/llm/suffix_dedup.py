@@ -44,9 +44,9 @@ def other_prefix(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def contexts(at: np.ndarray, data: np.ndarray, length: int) -> dict[str, np.ndarray]:
+def contexts(at: np.ndarray, data: np.ndarray, length: int, anchors_only: bool = False) -> dict[str, np.ndarray]:
     """For texts data[at[i]:at[i+1]]: text number, anchor hash, context hash, first and last window start (in the text)
-    and place of the anchor, of every context."""
+    and place of the anchor, of every context; or just the anchor hashes."""
     n, grams = len(data), length - GRAM + 1
     empty = {k: np.zeros(0, np.int64) for k in ("text", "anchor", "context", "first", "last", "place")}
     if n < length:
@@ -72,8 +72,10 @@ def contexts(at: np.ndarray, data: np.ndarray, length: int) -> dict[str, np.ndar
     begin = np.flatnonzero(new)
     a, b = valid[begin], valid[np.concatenate([begin[1:], [len(valid)]]) - 1]
     p, own = p[begin], own[begin]
+    if anchors_only:
+        return {"anchor": mix(gram[p] * _NAME).astype(np.int64)}
     shape = ((p - a) * 65536 + (b - a)).astype(np.uint64)
-    context = mix(span_hashes(other_prefix(data), a, b + length) ^ mix(shape * _CONTEXT))
+    context = mix(span_hashes(one, a, b + length) ^ mix(shape * _CONTEXT))
     return {"text": own, "anchor": mix(gram[p] * _NAME).astype(np.int64), "context": context.astype(np.int64), "first": a - at[own], "last": b - at[own], "place": p - at[own]}
 
 
@@ -89,45 +91,63 @@ class Suffixes:
         self.inverse = powers(len(data) + 1, True)
 
     def extension(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Lengths of the longest common prefixes of suffixes i and j, by binary search on hashes."""
+        """Lengths of the longest common prefixes of suffixes i and j, by binary search on hashes; the longest possible
+        extension is tried first, as most suffixes of one group agree to their end or part soon."""
         a, b = self.start[i], self.start[j]
         low, high = np.zeros(len(i), np.int64), np.minimum(self.end[i] - a, self.end[j] - b)
-        left, right, p, q, inverse_a, inverse_b = self.prefix[a], self.prefix[b], a, b, self.inverse[a], self.inverse[b]
-        while True:
-            if not (low < high).any():
-                return low
+        middle, at = high, np.arange(len(i))
+        while at.size:
+            p, q, m = a[at], b[at], middle[at]
+            same = (self.prefix[p + m] - self.prefix[p]) * self.inverse[p] == (self.prefix[q + m] - self.prefix[q]) * self.inverse[q]
+            low[at], high[at] = np.where(same, m, low[at]), np.where(same, high[at], m - 1)
+            at = at[low[at] < high[at]]
             middle = (low + high + 1) // 2
-            same = (self.prefix[p + middle] - left) * inverse_a == (self.prefix[q + middle] - right) * inverse_b
-            low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
+        return low
 
     def before(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether suffix i sorts before j: by group, then bytes, then number."""
+        """Whether suffix i sorts before j: by group, then bytes, then number.  Only suffixes of one group are compared."""
+        out = self.group[i] < self.group[j]
+        close = np.flatnonzero(self.group[i] == self.group[j])
+        if not close.size:
+            return out
+        i, j = i[close], j[close]
         common = self.extension(i, j)
         a, b = self.start[i] + common, self.start[j] + common
-        ends_a, ends_b = a >= self.end[i], b >= self.end[j]
         last = len(self.data) - 1
-        byte_a, byte_b = np.where(ends_a, -1, self.data[np.minimum(a, last)].astype(np.int64)), np.where(ends_b, -1, self.data[np.minimum(b, last)].astype(np.int64))
-        bytes_first = np.where(byte_a == byte_b, i < j, byte_a < byte_b)
-        return np.where(self.group[i] == self.group[j], bytes_first, self.group[i] < self.group[j])
+        byte_a = np.where(a >= self.end[i], -1, self.data[np.minimum(a, last)].astype(np.int64))
+        byte_b = np.where(b >= self.end[j], -1, self.data[np.minimum(b, last)].astype(np.int64))
+        out[close] = np.where(byte_a == byte_b, i < j, byte_a < byte_b)
+        return out
 
     def sorted(self) -> np.ndarray:
-        """Suffix numbers in order, by bottom-up mergesort; each element finds its place in the other run of its pair by
-        binary search, all at once."""
+        """Suffix numbers in order, by bottom-up mergesort.  Groups come in order, so of the two runs of a merge only the
+        group that spans both has to be merged; its elements find their places in the other run by binary search, those
+        of all merges at once."""
         n = len(self.start)
-        order, run = np.arange(n), 1
+        order, run = np.argsort(self.group, kind="stable"), 1
         while run < n:
             place = np.arange(n)
-            own, block = place % (2 * run) < run, place // (2 * run) * (2 * run)
-            other = np.where(own, np.minimum(block + run, n), block)
-            low, high = other.copy(), np.where(own, np.minimum(block + 2 * run, n), np.minimum(block + run, n))
-            while (open_ := np.flatnonzero(low < high)).size:
-                middle = (low[open_] + high[open_]) // 2
-                less = self.before(order[middle], order[open_])
-                low[open_], high[open_] = np.where(less, middle + 1, low[open_]), np.where(less, high[open_], middle)
-            target = np.where(own, place + (low - other), place - run + (low - other))
-            merged = np.empty_like(order)
-            merged[target] = order
-            order, run = merged, 2 * run
+            block = place // (2 * run) * (2 * run)
+            middle = block + run
+            groups = self.group[order]
+            spans = (middle < n) & (groups[np.minimum(middle, n - 1)] == groups[np.minimum(middle, n - 1) - 1])
+            live = np.flatnonzero(spans & (groups == groups[np.minimum(middle, n - 1)]))
+            if live.size:
+                at, mid = place[live], middle[live]
+                own = at < mid
+                low = np.where(own, mid, block[live])
+                high = np.where(own, np.minimum(mid + run, n), mid)
+                first = low.copy()
+                open_ = np.arange(len(live))
+                while open_.size:
+                    half = (low[open_] + high[open_]) // 2
+                    less = self.before(order[half], order[at[open_]])
+                    low[open_], high[open_] = np.where(less, half + 1, low[open_]), np.where(less, high[open_], half)
+                    open_ = open_[low[open_] < high[open_]]
+                merged = order.copy()
+                merged[np.where(own, at + (low - first), at - run + (low - first))] = order[at]
+                order = merged
+            run *= 2
         return order
 
     def neighbours(self, order: np.ndarray) -> np.ndarray:
@@ -271,8 +291,11 @@ def removed_spans(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
         own = part.column("id").to_numpy(zero_copy_only=False)[found.pop("text")] if part.num_rows else np.zeros(0, np.int64)
         return found | {"id": own.astype(np.int64)}
 
-    rows = map_slices(docs.filter("id is not null"), anchors, "anchor long, context long, id long, first int, last int, place int")
-    again = rows.select("anchor").groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    known = docs.filter("id is not null")
+    names = map_slices(known, lambda part: {"anchor": contexts(*raw(part.column("text")), length, anchors_only=True)["anchor"]}, "anchor long")
+    rows = map_slices(known, anchors, "anchor long, context long, id long, first int, last int, place int")
+    # written, so that both sides of the join are plain exchanges and AQE can split an anchor that very many texts have
+    again = written(names.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "anchors")
     repeated = written(rows.join(again, "anchor"), "anchors")
     # contexts that are equal as a whole: all but the first go
     place = F.struct("id", "first")
