@@ -204,4 +204,11 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable] = {"op8_warc": query}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_warc": """
+WITH h AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS x FROM pages),
+v AS (SELECT page_id, t, list_transform(range(8), lambda g: list_reduce(list_transform(range(1, 6), lambda k: instr('0123456789abcdef', substr(x, CAST(5 * g + k AS BIGINT), 1)) - 1), lambda a, b: a * 16 + b)) AS parts FROM h),
+b AS (SELECT page_id, t, array_to_string(list_transform(parts, lambda p: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(p // 32768 + 1 AS BIGINT), 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(p // 1024 % 32 + 1 AS BIGINT), 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(p // 32 % 32 + 1 AS BIGINT), 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(p % 32 + 1 AS BIGINT), 1)), '') AS digest FROM v),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest, strlen(t)) AS first FROM b)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f""",
+}
