@@ -1 +1 @@
-
+"""DataFrame operators on surveys, models and meshes."""

@@ -1 +1 @@
-
+"""No streaming operators: the inventory has none."""
