@@ -176,3 +176,20 @@ def geometric_factor(am: Column, bm: Column, an: Column, bn: Column) -> Column:
 def apparent_factor(factor: Column) -> Column:
     """What turns a potential into an apparent resistivity."""
     return F.lit(1.0) / (factor + F.lit(1e-10))
+
+
+def conductivity(value: Column, resistivity: bool, log: bool) -> Column:
+    """A model as conductivity, its logarithm where the problem is solved for conductivity."""
+    v = F.try_divide(F.lit(1.0), value) if resistivity else value
+    return F.when(v > 0, F.log(v)) if log else v
+
+
+def rotated(a: Column, b: Column, degrees: float) -> tuple[Column, Column]:
+    """Two coordinates turned anticlockwise in their plane."""
+    c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    return a * c - b * s, a * s + b * c
+
+
+def current_name(method: Column) -> Column:
+    """The present name of a job type."""
+    return F.when(method == "fem", "fdem").when(method == "fem 1d", "fdem 1d").otherwise(method)

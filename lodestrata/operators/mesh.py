@@ -169,3 +169,32 @@ def inside_mesh(points: DataFrame, triangles: DataFrame) -> DataFrame:
     det = a[0] * (b[1] * d[2] - b[2] * d[1]) - a[1] * (b[0] * d[2] - b[2] * d[0]) + a[2] * (b[0] * d[1] - b[1] * d[0])
     angle = F.atan2(det, na * nb * nd + dot(a, b) * nd + dot(b, d) * na + dot(d, a) * nb) * 2
     return points.crossJoin(F.broadcast(triangles)).groupBy("id").agg((F.abs(F.sum(angle)) > 2 * math.pi).alias("inside"))
+
+
+def normals(cells: DataFrame, axis: str, outward: bool = True) -> DataFrame:
+    """(cell_id, nx, ny, nz): a unit vector along an axis for every cell."""
+    sign = 1.0 if outward else -1.0
+    return cells.select("cell_id", *[F.lit(sign if a == axis else 0.0).alias(f"n{t}") for a, t in zip(AXES, "xyz", strict=True)])
+
+
+def centroids(cells: DataFrame, origin: tuple[float, float, float], size: tuple[float, float, float]) -> DataFrame:
+    """(cell_id, x, y, z) of cells (i, j, k, ncells) that are ncells finest cells wide."""
+    return cells.select("cell_id", *[((F.col(a) + F.col("ncells") / 2) * s + o).alias(t) for a, t, o, s in zip(AXES, "xyz", origin, size, strict=True)])
+
+
+def same_places(a: DataFrame, b: DataFrame, tolerance: float = 1e-8) -> DataFrame:
+    """One row: whether two tables (cell_id, x, y, z) hold the same cells at the same places."""
+    other = b.select("cell_id", *[F.col(t).alias(f"_{t}") for t in "xyz"])
+    apart = F.greatest(*[F.coalesce(F.abs(F.col(t) - F.col(f"_{t}")), F.lit(float("inf"))) for t in "xyz"])
+    return a.join(other, "cell_id", "full").agg((F.coalesce(F.max(apart), F.lit(0.0)) <= tolerance).alias("same"))
+
+
+def draped_prisms(stations: DataFrame, spacing: float, heights: DataFrame) -> DataFrame:
+    """(line_id, column, along, top, k, bottom): columns of equal spacing along each line, topped by the mean height of
+    the stations within, with layers (k, h) below; columns without a station take no part."""
+    from lodestrata.operators.windows import along_line
+
+    placed = along_line(stations).withColumn("column", F.floor(F.col("along") / spacing).cast("int"))
+    tops = placed.groupBy("line_id", "column").agg(F.avg("z").alias("top"))
+    depth = heights.withColumn("_d", F.sum("h").over(Window.partitionBy(F.lit(1)).orderBy("k").rowsBetween(Window.unboundedPreceding, 0))).select("k", "_d")
+    return tops.crossJoin(F.broadcast(depth)).select("line_id", "column", ((F.col("column") + 0.5) * spacing).alias("along"), "top", "k", (F.col("top") - F.col("_d")).alias("bottom"))
