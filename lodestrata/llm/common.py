@@ -7,7 +7,9 @@ empty text, null ids pass through, repeated rows are treated as separate rows.
 
 from __future__ import annotations
 
+import gc
 import os
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +20,10 @@ from pyspark.sql import functions as F
 #: Bytes of text that a worker turns into Python objects or numpy arrays at a time (one longer text is taken whole).
 SLICE_BYTES = 1 << 20
 
+#: Environment of Python workers: arrays go back to the system when they are freed, so that a worker that is kept for
+#: later tasks does not keep the memory of its largest slice.
+ALLOCATION = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "1048576", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package even where only the driver's sys.path has it; keep Arrow batches small."""
@@ -25,6 +31,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    for name, value in ALLOCATION.items():
+        env.setdefault(name, value)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return spark
 
@@ -113,13 +121,24 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def release(spark: SparkSession) -> None:
+    """Free the disk of finished steps: Spark removes a shuffle's files once the JVM has collected the plan that made
+    them, which takes two collections (the first leaves what the last command still held)."""
+    for wait in (0.25, 0):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(wait)
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """A Parquet table in the shared folder, reread."""
     import uuid
 
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    release(spark)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 # ---------------------------------------------------------------------------------------------------------- hashes

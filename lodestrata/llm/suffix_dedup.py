@@ -32,7 +32,9 @@ GRAM = 32
 #: Contexts of one gram that are sorted together; more are dealt into blocks.
 BLOCK = 1024
 #: Contexts that a task sorts at once (groups are never split).
-CHUNK = 16_384
+CHUNK = 4_096
+#: Bytes of text whose positions are hashed at once; each takes about 100 bytes of a worker's memory meanwhile.
+SLICE = 1 << 18
 _ORDER, _NAME, _CONTEXT = (np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47, 0xC2B2AE3D27D4EB4F))
 _OTHER = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
@@ -292,8 +294,8 @@ def removed_spans(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
         return found | {"id": own.astype(np.int64)}
 
     known = docs.filter("id is not null")
-    names = map_slices(known, lambda part: {"anchor": contexts(*raw(part.column("text")), length, anchors_only=True)["anchor"]}, "anchor long")
-    rows = map_slices(known, anchors, "anchor long, context long, id long, first int, last int, place int")
+    names = map_slices(known, lambda part: {"anchor": contexts(*raw(part.column("text")), length, anchors_only=True)["anchor"]}, "anchor long", size=SLICE)
+    rows = map_slices(known, anchors, "anchor long, context long, id long, first int, last int, place int", size=SLICE)
     # written, so that both sides of the join are plain exchanges and AQE can split an anchor that very many texts have
     again = written(names.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "anchors")
     repeated = written(rows.join(again, "anchor"), "anchors")
@@ -317,7 +319,7 @@ def removed_spans(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
                     out[k].append(v)
         return out
 
-    pieces = map_slices(docs.join(asked, "id"), cut_out, "anchor long, salt int, split boolean, id long, first long, offset long, piece binary")
+    pieces = map_slices(docs.join(asked, "id"), cut_out, "anchor long, salt int, split boolean, id long, first long, offset long, piece binary", size=SLICE)
     settled = pieces.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(sort_blocks(length), "id long, start long, end long, anchor long, window long")
     settled = written(settled, "windows")
     between = settled.filter("anchor is not null")
@@ -355,7 +357,7 @@ def drop_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
         return {"id": part.column("id")} | out
 
     schema = "id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string" + ", kept binary" * texts_too
-    return map_slices(docs.join(per_text, "id", "left"), apply, schema).withColumnRenamed("id", id_col)
+    return map_slices(docs.join(per_text, "id", "left"), apply, schema, size=SLICE).withColumnRenamed("id", id_col)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -364,4 +366,16 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable] = {"op5_suffix_dedup": query}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, s, substr(h, 2 * s + 1, 200) AS g FROM (SELECT doc_id, h, unnest(range(0, greatest(0, len(h) // 2 - 99))) AS s FROM d)),
+r AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS n FROM w) WHERE n > 1),
+b AS (SELECT doc_id, s, CASE WHEN s > coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY s), -1000) + 100 THEN 1 ELSE 0 END AS new FROM r),
+g AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS run FROM b),
+x AS (SELECT doc_id, run, min(s) AS a, max(s) + 100 AS z FROM g GROUP BY doc_id, run),
+k AS (SELECT d.doc_id, coalesce(lag(x.z) OVER (PARTITION BY d.doc_id ORDER BY x.a), 0) AS a, x.a AS z FROM d JOIN x ON x.doc_id = d.doc_id UNION ALL SELECT d.doc_id, coalesce(max(x.z), 0), len(any_value(d.h)) // 2 FROM d LEFT JOIN x ON x.doc_id = d.doc_id GROUP BY d.doc_id),
+o AS (SELECT k.doc_id, string_agg(substr(d.h, 2 * k.a + 1, 2 * (k.z - k.a)), '' ORDER BY k.a, k.z) AS kept FROM k JOIN d ON d.doc_id = k.doc_id GROUP BY k.doc_id)
+SELECT d.doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(sum(x.z - x.a), 0) AS BIGINT) AS n_removed, count(x.a) AS n_spans, sha256(unhex(any_value(o.kept))) AS kept_sha256
+FROM d LEFT JOIN x ON x.doc_id = d.doc_id JOIN o ON o.doc_id = d.doc_id GROUP BY d.doc_id, d.h""",
+}
