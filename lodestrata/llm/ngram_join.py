@@ -3,28 +3,33 @@
 The shingles of the universe are dealt into segments by a hash; how many depends on the band of sizes.  If two sets of a
 band differ by at most H shingles, at least one of H + 1 segments is the same in both.  Each set is indexed by what it
 has in each segment (E entries), and for one segment also by all it has there but one shingle (D entries, the
-one-deletion neighbourhood, by which sets that differ there by one still meet).  There are some more segments than H + 1,
-and what that leaves over is allocated by cost: after the entries have been counted, a set gives up its costliest entries
+one-deletion neighbourhood, by which sets that differ there by one still meet).  There are some more segments than H + 1.
+Linked sets so share that many entries, and sets with fewer shared ones are sieved out.  What is left over is also
+allocated by cost: after the entries have been counted, a set gives up its costliest entries
 (those that more than HOT sets share) where the segments that it keeps, and the deletion segment, still prove that every
 partner is met.  Whether an entry is costly is the same for all sets, so a set and its partner agree on it.
 
-Exact copies of a set are one class from the start.  Candidates are verified exactly on the texts' shingle sets:
-1. in each bucket every class against one centre (the class with the most and largest buckets): linear in the entries;
-2. classes of one bucket that this left in different components have both been compared with the bucket's centre, so
-   their differences from it are known, and one of the two differs by more than a link may.  Then a link between them
+Exact copies of a set are one class from the start.  Candidates are verified exactly on the texts' shingle sets.
+In each bucket every class is a candidate with one centre (the class with the most and largest buckets), which is linear
+in the entries.  The components of these candidates are families; links are within families only.  In families of at
+most FAMILY members all are compared in one task, each text read once.  In larger ones:
+1. every member is compared with the family's centre;
+2. of two members that this left in different components both differences from the centre are known, and one of the two
+   differs by more than a link may.  Then a link between them
    needs more than half of the other's differences in common (see ``overlap``), which few pairs pass: they are found by
-   a prefix filter with positions on the differences, where those that the centre has not come first as the rare ones.
+   a prefix filter with positions on the differences, rare ones first.
 So every link is either verified or joins two classes that are in one component anyhow, and the work does not grow with
 the square of a group of near copies.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import gram_hashes, map_slices, mix, texts, word_hashes, written
@@ -32,6 +37,12 @@ from lodestrata.llm.components import components
 
 #: Sets above which an entry counts as costly.
 HOT = 32
+#: Sets that are tried first for each set not linked with its centre.
+LIKELY = 4
+#: Members of a family of candidates that are compared within one task.
+FAMILY = 64
+#: How often sets that share too few entries, and entries that then stand alone, are sieved out.
+SIEVES = 2
 _SEGMENT, _VALUE, _FIRST, _SECOND = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
 
@@ -43,14 +54,14 @@ class Bands:
 
     def __init__(self, num: int, den: int, largest: int = 1 << 31):
         self.num, self.den = num, den
-        self.lower, self.spread, self.segments = [], [], []
+        self.lower, self.spread, self.spare = [], [], []
         low = 1
         while low <= largest:
             high = max(low, int(low * (den / num) ** 1.5))
             h = self.differ(high, self.partner(high))
             self.lower.append(low)
             self.spread.append(h)
-            self.segments.append(h + 1 + self.spare(h) if h else 0)
+            self.spare.append(self.needless(low, h) if h else 0)
             low = high + 1
 
     def partner(self, n: int) -> int:
@@ -62,8 +73,15 @@ class Bands:
         return (self.den - self.num) * (a + b) // (self.den + self.num)
 
     @staticmethod
-    def spare(h: int) -> int:
-        return 1 + (h + 1) * 6 // 100
+    def needless(low: int, h: int) -> int:
+        """Segments beyond H + 1: a twentieth, and as many as the smallest sets of the band leave empty (three deviations
+        above the mean), for empty segments are what most sets have in common; no more than H + 1."""
+        spare = 1 + (h + 1) // 20
+        for _ in range(20):
+            m = h + 1 + spare
+            empty = m * math.exp(-low / m)
+            spare = min(h + 1, 1 + (h + 1) // 20 + math.ceil(empty + 3 * math.sqrt(empty)))
+        return spare
 
     def of(self, n: int) -> int:
         return int(np.searchsorted(self.lower, n, side="right")) - 1
@@ -74,13 +92,6 @@ class Bands:
         smallest = -(-n * self.num // self.den)
         return [b for b in range(self.of(smallest), self.of(n) + 1) if self.spread[b]] if n else []
 
-    def column(self, n: Column, values: list[int]) -> Column:
-        """The value of the band that holds n."""
-        out = F.lit(values[0])
-        for low, v in list(zip(self.lower, values, strict=True))[1:]:
-            out = F.when(n >= low, v).otherwise(out) if v != values[0] else out
-        return out
-
 
 def shingle_sets(column: pa.Array, shingle: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
@@ -92,27 +103,35 @@ def shingle_sets(column: pa.Array, shingle: int) -> list[np.ndarray]:
     return out
 
 
-def entries(own: np.ndarray, bands: Bands) -> tuple[np.ndarray, bool]:
-    """The buckets of a set (E entries are even, D entries odd), and whether its deletion segments can stand in for a
-    segment that it gives up: with two shingles or more there, a partner that differs by one has an entry as well."""
-    out, stands_in = [], True
+def entries(own: np.ndarray, bands: Bands) -> tuple[np.ndarray, int, bool]:
+    """The buckets of a set (E entries are even, D entries odd); how many of its segments it could still do without; and
+    whether its deletion segments can stand in for one more: with two shingles or more there, a partner that differs by
+    one has an entry as well.
+
+    Empty segments are given up where the spare ones of the band allow it, else all of them are kept, and nothing can be
+    done without: a partner may have given up its own."""
+    out, slack, stands_in = [], [], True
     segment_hash, value = mix(own * _SEGMENT) >> np.uint64(32), mix(own ^ _VALUE)
     for band in bands.indexed(len(own)):
-        m = bands.segments[band]
+        spare = bands.spare[band]
+        m = bands.spread[band] + 1 + spare
         segment = (segment_hash * np.uint64(m) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(segment, kind="stable")
         ordered, values = segment[order], value[order]
         starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        full = ordered[starts]
         sums = np.zeros(m, np.uint64)
-        sums[ordered[starts]] = np.add.reduceat(values, starts)
+        sums[full] = np.add.reduceat(values, starts)
         tag = mix((np.arange(m, dtype=np.uint64) + np.uint64(band << 40)) * _FIRST)
-        out.append(mix(sums ^ tag) & ~np.uint64(1))
+        empty = m - len(full)
+        slack.append(max(0, spare - empty))
+        out.append(mix(sums ^ tag)[full if empty <= spare else slice(None)] & ~np.uint64(1))
         deleted = values[ordered == 0]
         stands_in &= len(deleted) > 1
         if len(deleted):
             left = np.concatenate([sums[:1], sums[0] - deleted if len(deleted) > 1 else deleted[:0]])
             out.append(mix(left ^ tag[0]) | np.uint64(1))
-    return (np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)), stands_in
+    return (np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)), min(slack, default=0), stands_in
 
 
 def overlap(size: Column, other: Column, n: Column, other_n: Column, num: int, den: int) -> Column:
@@ -121,17 +140,18 @@ def overlap(size: Column, other: Column, n: Column, other_n: Column, num: int, d
     return F.ceil((size + other - F.floor((n + other_n) * (den - num) / (den + num))) / 2)
 
 
-def index_prefix(size: int, num: int, den: int) -> int:
+def index_prefix(size: int, most: int, num: int, den: int) -> int:
     """How many of a set's differences must be indexed so that each link to a set that is itself not linked with the
     centre finds one of them.  With k = (den - num) / (den + num), such a set x has |dx| > k (|x| + |c|) - 1 (rounded
-    down), and |y| <= |c| + |dy|, so that |dx| + |dy| - k (|x| + |y|) > (1 - k) |dy|."""
-    least = (size * 2 * num // (den + num) + 2) // 2
+    down), and |y| <= |c| + |dy|, so that |dx| + |dy| - k (|x| + |y|) > (1 - k) |dy|.  Also, all but ``most`` (what y
+    and its largest partner may differ by) of y's differences are shared."""
+    least = max((size * 2 * num // (den + num) + 2) // 2, size - most)
     return max(0, size - least + 1)
 
 
 def verified(pairs: DataFrame, text: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) with whether they link, by the exact sets of their texts; the size of b's set; how many shingles
-    they differ by; and of these, those that b alone has first, as many as a prefix filter on b needs."""
+    """Pairs (a, b) with whether they link, by the exact sets of their texts; the size of b's set; the shingles that they
+    differ by; and how many of these a prefix filter on b needs."""
     rows = pairs.join(text.select(F.col("d").alias("a"), F.col("text").alias("text_a")), "a").join(text.select(F.col("d").alias("b"), F.col("text").alias("text")), "b")
     bands = Bands(num, den, 1)
 
@@ -147,15 +167,100 @@ def verified(pairs: DataFrame, text: DataFrame, shingle: int, num: int, den: int
             if len(x) and len(y):
                 both = len(y) - len(mine)
                 linked = den * both >= num * (len(x) + len(y) - both)
-            indexed = index_prefix(size, num, den)
-            probing = 0 if linked else min(size, bands.differ(len(y), bands.partner(len(y))) + 1)
-            for k, v in (("linked", linked), ("n", len(y)), ("size", size), ("differing", np.concatenate([mine, its])[: max(indexed, probing)].astype(np.int64)), ("indexed", indexed), ("probing", probing)):
+            most = bands.differ(len(y), bands.partner(len(y)))
+            indexed = index_prefix(size, most, num, den)
+            probing = 0 if linked else min(size, most + 1)
+            for k, v in (("linked", linked), ("n", len(y)), ("size", size), ("differing", np.concatenate([mine, its]).astype(np.int64)), ("indexed", indexed), ("probing", probing)):
                 out[k].append(v)
         return {k: part.column(k) for k in ("a", "b")} | out
 
     return map_slices(rows.select("a", "b", "text_a", "text"), work, "a long, b long, linked boolean, n int, size int, differing array<long>, indexed int, probing int")
 
 
+def apart(tried: DataFrame, reach: DataFrame) -> DataFrame:
+    """The differences (a, shingle, at, b, ...) of sets that met a centre whose sets are not all in one component, in the
+    order of how many sets of the centre have them: what the centre alone has or lacks comes last in all of them.  As
+    many of each set's as the filters need."""
+    members = tried.join(reach, F.col("b") == F.col("node"), "left").withColumn("component", F.coalesce("component", "b"))
+    mixed = members.groupBy("a").agg(F.count_if(~F.col("linked")).alias("unlinked"), F.min("component").alias("least"), F.max("component").alias("most")).filter("unlinked > 0 and least <> most").select("a")
+    kept = members.join(mixed, "a", "left_semi")
+    single = kept.select("a", "b", F.explode("differing").alias("shingle"))
+    often = single.groupBy("a", "shingle").agg(F.count("*").alias("often"))
+    order = Window.partitionBy("a", "b").orderBy("often", "shingle")
+    placed = single.join(often, ["a", "shingle"]).withColumn("at", F.row_number().over(order) - 1)
+    return placed.join(kept.drop("node", "differing"), ["a", "b"]).filter(F.col("at") < F.greatest("indexed", "probing")).select("a", "at", "shingle", "b", "linked", "n", "size", "indexed", "probing", "component")
+
+
+def likely_pairs(each: DataFrame) -> DataFrame:
+    """For each set that is not linked with its centre, the LIKELY sets that most of its differences name, where each
+    difference names two sets that have it.  What this leaves out, possible_pairs finds."""
+    key = F.struct(F.xxhash64("b").alias("h"), F.col("b"), F.col("component"))
+    named = each.filter("at < indexed").groupBy("a", "shingle").agg(F.min(key).alias("first"), F.max(key).alias("last"))
+    x = each.filter("at < probing").select("a", "shingle", F.col("b").alias("x"), F.col("component").alias("c"))
+    y = named.select("a", "shingle", F.explode(F.array_distinct(F.array("first", "last"))).alias("y"))
+    met = x.join(y, ["a", "shingle"]).filter(F.col("c") != F.col("y.component")).groupBy("x", F.col("y.b").alias("y")).agg(F.count("*").alias("met"))
+    best = met.withColumn("rank", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("met"), "y"))).filter(F.col("rank") <= LIKELY)
+    return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def possible_pairs(each: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs of sets in different components that may link, by a prefix filter with positions."""
+    x, y = each.filter(F.col("at") < F.col("probing")).alias("x"), each.filter(F.col("at") < F.col("indexed")).alias("y")
+    col = F.col
+    meet = (
+        (col("x.a") == col("y.a")) & (col("x.shingle") == col("y.shingle")) & (col("x.component") != col("y.component")) & (col("y.linked") | (col("x.b") < col("y.b")))
+        & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num)
+        & (F.least(col("x.size") - col("x.at"), col("y.size") - col("y.at")) >= overlap(col("x.size"), col("y.size"), col("x.n"), col("y.n"), num, den))
+    )
+    return x.join(y, meet).select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
+
+
+def settle(shingle: int, num: int, den: int) -> Callable:
+    """Over rows (family, d, text) in order of family: (node, component) of all that link with another of their family."""
+
+    def linked(ids: list[int], found: list[str]) -> list[tuple[int, int]]:
+        sets = shingle_sets(pa.array(found, pa.string()), shingle)
+        root = list(range(len(ids)))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        order = sorted(range(len(ids)), key=lambda i: len(sets[i]))
+        for at, i in enumerate(order):
+            for j in order[at + 1 :]:
+                if len(sets[i]) * den < num * len(sets[j]):
+                    break
+                if find(i) != find(j):
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if den * both >= num * (len(sets[i]) + len(sets[j]) - both) and both:
+                        root[find(i)] = find(j)
+        least: dict[int, int] = {}
+        for i, d in enumerate(ids):
+            least[find(i)] = min(d, least.get(find(i), d))
+        return [(d, least[find(i)]) for i, d in enumerate(ids) if any(find(i) == find(j) for j in range(len(ids)) if j != i)]
+
+    def run(batches):
+        schema = pa.schema([("node", pa.int64()), ("component", pa.int64())])
+        now, ids, found = None, [], []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for family, d, text in zip(*[batch.column(k).to_pylist() for k in ("family", "d", "text")], strict=True):
+                if family != now:
+                    out += linked(ids, found) if len(ids) > 1 else []
+                    now, ids, found = family, [], []
+                ids.append(d)
+                found.append(text)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=schema)
+        if len(ids) > 1 and (out := linked(ids, found)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=schema)
+
+    return run
+
+
 def near_components(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """id, n_shingles and component_id (the smallest id that links reach, itself included) of every document.
 
@@ -168,54 +273,70 @@ def near_components(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     docs = texts(documents, id_col, text_col).withColumn("id", F.col("id").cast("long"))
 
     def sets(part):
-        out: dict[str, list] = {k: [] for k in ("n", "s1", "s2", "entries", "stands_in")}
+        out: dict[str, list] = {k: [] for k in ("n", "s1", "s2", "entries", "slack", "stands_in")}
         for own in shingle_sets(part.column("text"), shingle):
             out["n"].append(len(own))
             out["s1"].append(int(mix(own * _FIRST).sum(dtype=np.uint64).astype(np.int64)))
             out["s2"].append(int(mix(own ^ _SECOND).sum(dtype=np.uint64).astype(np.int64)))
-            found, stands_in = entries(own, bands)
+            found, slack, stands_in = entries(own, bands)
             out["entries"].append(found)
+            out["slack"].append(slack)
             out["stands_in"].append(stands_in)
         return {"id": part.column("id")} | out
 
-    own = written(map_slices(docs, sets, "id long, n int, s1 long, s2 long, entries array<long>, stands_in boolean"), "sets")
-    classes = own.filter("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("d"), F.count("*").alias("copies"), F.first("entries").alias("entries"), F.first("stands_in").alias("stands_in"))
-    found = classes.select("d", "n", "stands_in", F.explode("entries").alias("bucket"))
-    counts = found.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = written(found.join(counts, "bucket"), "entries")
+    own = written(map_slices(docs, sets, "id long, n int, s1 long, s2 long, entries array<long>, slack int, stands_in boolean"), "sets")
+    classes = own.filter("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("d"), F.count("*").alias("copies"))
+    classes = written(classes, "classes")
+    found = own.filter("id is not null").select(F.col("id").alias("d"), F.explode("entries").alias("bucket"))
+    counts = written(found.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "counts")
+    # copies have the entries of their class, which its first document keeps
+    later = own.select("id", "s1", "s2", "n").join(classes.filter("copies > 1"), ["s1", "s2", "n"]).filter("id > d").select(F.col("id").alias("d"))
+    shared = written(found.join(counts, "bucket").join(later, "d", "left_anti"), "entries")
+    # linked sets differ in H of a band's segments at most, so they share more than are spare
+    even = F.pmod("bucket", F.lit(2)) == 0
+    traits = own.filter("id is not null").select(F.col("id").alias("d"), "slack", "stands_in").groupBy("d").agg(F.min("slack").alias("slack"), F.min("stands_in").alias("stands_in"))
+    for _ in range(SIEVES):
+        enough = shared.groupBy("d").agg(F.count_if(even).alias("met")).join(traits, "d").filter("met > slack").select("d")
+        left = shared.drop("size").join(enough, "d", "left_semi")
+        shared = written(left.join(left.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "bucket"), "entries")
 
     # what a set may give up, and how central it is
     hot = F.col("size") > HOT
-    even = F.pmod("bucket", F.lit(2)) == 0
-    spare = bands.column(F.ceil(F.col("n") * num / den), [Bands.spare(h) for h in bands.spread])  # of the smallest of its bands
-    worth = shared.groupBy("d").agg(F.sum("size").alias("weight"), F.count_if(hot & even).alias("costly"), F.count_if(hot & ~even).alias("costly_d"), F.first("n").alias("n"), F.first("stands_in").alias("stands_in"))
-    worth = worth.withColumn("gives", F.col("costly") <= spare + ((F.col("costly_d") == 0) & F.col("stands_in")).cast("int")).select("d", "weight", "gives")
-    kept = written(shared.join(worth, "d").filter(~(hot & F.col("gives"))).select("bucket", "d", "n", "weight"), "entries")
+    worth = shared.groupBy("d").agg(F.sum("size").alias("weight"), F.count_if(hot & even).alias("costly"), F.count_if(hot & ~even).alias("costly_d")).join(traits, "d")
+    worth = worth.withColumn("gives", F.col("costly") <= F.col("slack") + ((F.col("costly_d") == 0) & F.col("stands_in")).cast("int")).select("d", "weight", "gives")
+    kept = written(shared.join(worth, "d").filter(~(hot & F.col("gives"))).select("bucket", "d", "weight"), "entries")
 
     named = kept.select("d").distinct()
     text = written(docs.join(named, docs["id"] == named["d"], "left_semi").groupBy("id").agg(F.min("text").alias("text")).select(F.col("id").alias("d"), "text"), "texts")
 
     centre = kept.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("d")).alias("d"))).alias("c"), F.count("*").alias("size")).filter("size > 1").select("bucket", (-F.col("c.d")).alias("a"))
     first = kept.join(centre, "bucket").filter("a <> d").select("a", F.col("d").alias("b")).distinct()
+
+    # small families of candidates fit a task, where every two of them are compared
+    family = written(components(first).withColumnRenamed("node", "d").withColumnRenamed("component", "family"), "families")
+    large = written(family.groupBy("family").agg(F.count("*").alias("members")).filter(F.col("members") > FAMILY).select("family"), "large")
+    members = text.join(family.join(large, "family", "left_anti"), "d").repartition("family").sortWithinPartitions("family")
+    settled = written(members.select("family", "d", "text").mapInArrow(settle(shingle, num, den), "node long, component long"), "settled")
+
+    # one centre for each large family: every member's differences from it tell which of them can link
+    in_large = family.join(large, "family", "left_semi").join(worth.select("d", "weight"), "d")
+    middle = in_large.groupBy("family").agg(F.max(F.struct("weight", (-F.col("d")).alias("d"))).alias("c")).select("family", (-F.col("c.d")).alias("a"))
+    first = in_large.join(middle, "family").filter("a <> d").select("a", F.col("d").alias("b"))
     tried = written(verified(first, text, shingle, num, den), "tried")
     links = tried.filter("linked").select("a", "b")
     reach = written(components(links), "reach")
 
-    # sets that met the same centre and are in different components
-    apart = tried.groupBy("a").agg(F.count_if(~F.col("linked")).alias("unlinked"), F.count("*").alias("met")).filter("unlinked > 0 and met > 1").select("a")
-    members = tried.join(apart, "a", "left_semi").join(reach, F.col("b") == F.col("node"), "left").withColumn("component", F.coalesce("component", "b"))
-    each = written(members.select("a", F.posexplode("differing").alias("at", "shingle"), "b", "linked", "n", "size", "indexed", "probing", "component"), "differing")
-    x, y = each.filter(F.col("at") < F.col("probing")).alias("x"), each.filter(F.col("at") < F.col("indexed")).alias("y")
-    col = F.col
-    meet = (
-        (col("x.a") == col("y.a")) & (col("x.shingle") == col("y.shingle")) & (col("x.component") != col("y.component")) & (col("y.linked") | (col("x.b") < col("y.b")))
-        & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num)
-        & (F.least(col("x.size") - col("x.at"), col("y.size") - col("y.at")) >= overlap(col("x.size"), col("y.size"), col("x.n"), col("y.n"), num, den))
-    )
-    pairs = x.join(y, meet).select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
-    more = written(verified(pairs, text, shingle, num, den).filter("linked").select("a", "b"), "links")
+    # sets that met the same centre and are in different components: one link each is enough, so likely ones come first
+    each = written(apart(tried, reach), "differing")
+    likely = written(verified(likely_pairs(each), text, shingle, num, den).filter("linked").select("a", "b"), "links")
+    if not likely.isEmpty():
+        links = links.unionByName(likely)
+        reach = written(components(links), "reach")
+        each = written(apart(tried, reach), "differing")
+    more = written(verified(possible_pairs(each, num, den), text, shingle, num, den).filter("linked").select("a", "b"), "links")
     if not more.isEmpty():
         reach = components(links.unionByName(more))
+    reach = reach.unionByName(settled)
     named = classes.select("s1", "s2", "n", "d", "copies").join(reach, F.col("d") == F.col("node"), "left").filter("copies > 1 or component is not null").select("s1", "s2", "n", F.coalesce("component", "d").alias("component"))
     joined = own.select("id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
     return joined.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id"))
@@ -233,4 +354,15 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable] = {"op2_ngram_join": query}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) >= 3 THEN list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM w),
+n AS (SELECT doc_id, len(sh) AS n FROM s),
+e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * p.i >= 90 * (x.n + y.n - p.i)),
+t AS (SELECT a AS u, b AS v FROM l UNION SELECT b, a FROM l),
+r AS (SELECT u, u AS c FROM t UNION SELECT t.v, r.c FROM r JOIN t ON t.u = r.u)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, coalesce((SELECT min(r.c) FROM r WHERE r.u = n.doc_id), n.doc_id) AS component_id FROM n""",
+}

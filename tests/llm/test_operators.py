@@ -216,9 +216,12 @@ def plain_components(rows, shingle, num, den):
     return {i: (len(sets[i]), find(i)) for i in order}
 
 
-@pytest.mark.parametrize(("shingle", "num", "den"), [(3, 90, 100), (5, 80, 100), (1, 70, 100)])
-def test_ngram_join(spark, monkeypatch, shingle, num, den):
+@pytest.mark.parametrize(("shingle", "num", "den", "family", "spare"), [(3, 90, 100, 64, None), (5, 80, 100, 2, None), (1, 70, 100, 2, 1)])
+def test_ngram_join(spark, monkeypatch, shingle, num, den, family, spare):
     monkeypatch.setattr(ngram_join, "HOT", 4)  # so that entries are given up
+    monkeypatch.setattr(ngram_join, "FAMILY", family)  # so that families are large
+    if spare:  # so that sets have more empty segments than are spare
+        monkeypatch.setattr(ngram_join.Bands, "needless", staticmethod(lambda low, h: spare))
     rng = random.Random(shingle)
     rows = []
     common = [rng.choice("abcdefgh") + str(rng.randrange(60)) for _ in range(40)]
