@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodestrata.llm.common import map_rows, map_slices, texts
-from lodestrata.llm.spans import SPANS, digest_columns, in_order, outside, redacted
+from lodestrata.llm.spans import SPANS, digest_columns, in_order, redacted
 
 BASE = ["assign", "access", "hex"]
 KINDS = [*BASE, "literal"]
@@ -39,7 +39,9 @@ PLACEHOLDERS = re.compile(r"(?i)changeme|example|placeholder|your|dummy|redacted
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_.-]{0,79}"
 _PAIR = re.compile(rf"""(?<![A-Za-z0-9_.-])({_NAME})["']?[\x20\t]*(?::=|=>|=(?!=)|:(?!:|//))[\x20\t]*""")
-_TERM = re.compile(rf""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|({_NAME})|([A-Za-z0-9+/_=.-]+)""")
+_QUOTED = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'""")
+_RUN = re.compile(r"[A-Za-z0-9+/_=.-]+")
+_SPACE = re.compile(r"[\x20\t]*")
 _PLUS = re.compile(r"[\x20\t]*\+[\x20\t]*")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -68,19 +70,38 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def assignments(text: str):
-    """Every (name, [(value, start, end), ...]): the literals that make up what the name is given, constants resolved."""
+    """Every (name, [(value, start, end), ...]): the literals that make up what the name is given, constants resolved.
+
+    An unquoted run is a literal as a whole, unless it is a constant, or constants with + between them.  Where a + in it
+    may be either, the run by itself is one more value of the name.
+    """
     constants: dict[str, list[tuple[str, int, int]]] = {}
     for pair in _PAIR.finditer(text):
         at, found = pair.end(), []
-        while term := _TERM.match(text, at):
-            quoted = 1 if term[1] is not None else 2 if term[2] is not None else 0
-            if quoted:
-                found.append((term[quoted], *term.span(quoted)))
-            elif term[3] is not None and term[3] in constants:
-                found += constants[term[3]]
+        while True:
+            if quoted := _QUOTED.match(text, at):
+                k = quoted.lastindex
+                found.append((quoted[k], *quoted.span(k)))
+                at = quoted.end()
+            elif run := _RUN.match(text, at):
+                names = run[0].removesuffix("+").split("+")
+                known = [x for x in names if x in constants]
+                if len(known) == len(names):
+                    at = run.start() + len("+".join(names))
+                else:
+                    found.append((run[0], *run.span()))
+                    at = run.end()
+                    if "+" in run[0]:
+                        yield pair[1], found[-1:]
+                for x in known:
+                    found += constants[x]
+                if text[at - 1] == "+":
+                    after = _SPACE.match(text, at).end()
+                    if _QUOTED.match(text, after) or ((run := _RUN.match(text, after)) and run[0] in constants):
+                        at = after
+                        continue
             else:
-                found.append((term[0], *term.span()))
-            at = term.end()
+                break
             if not (plus := _PLUS.match(text, at)):
                 break
             at = plus.end()
@@ -99,7 +120,7 @@ def literal_spans(text: str, base: list[tuple[str, int, int]], threshold: float)
             for _, start, end in parts:
                 if end > start:
                     best[start, end] = max(score, best.get((start, end), 0.0))
-    return [("literal", a, b) for a, b in best if outside(a, b, base)]
+    return [("literal", a, b) for a, b in best if not any(c <= a and b <= d for _, c, d in base)]
 
 
 def all_spans(text: str, threshold: float) -> list[tuple[str, int, int]]:

@@ -112,6 +112,24 @@ def test_secret_lexing():
     assert found("the key: remember this") == [] and found("") == []
 
 
+def test_secret_unquoted_values_are_whole():
+    found = lambda text: sorted(text[a:b] for k, a, b in secrets.all_spans(text, 0.5) if k == "literal")
+    aws = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzT4kQ9vL2s"
+    for value in (aws, "ab/cdEF12ghIJ34klMN56", "eyJhbGciOiJIUzI1NiJ9." + "aZ3_x-9Q" * 25, "Q29+kZ/8xW+31vBt==", "MIIEv7+Qb2/" + "Zk4+tX9w" * 40 + "="):
+        for text in (f"AWS_ACCESS_KEY={value}", f"auth: {value}\n", f"private_key = {value} # x"):
+            assert found(text) == [value], text
+    rng = random.Random(3)
+    for _ in range(500):
+        value = base64.b64encode(rng.randbytes(30)).decode()
+        assert found(f"AWS_ACCESS_KEY={value}\n") == [value]
+    assert found(f"ab = 'x1'\nprivate_key={(v := 'ab+cdEF12ghIJ/34klMN56')}") == [v, "x1"]
+    for plus in ("+", " + ", "+ ", " +"):
+        assert found(f"a = 'hG7kq2Zp'\nc = 'X9wQ'\nclientCredential = a{plus}c") == ["X9wQ", "hG7kq2Zp"]
+        assert found(f"c = 'X9wQ'\nclientCredential = 'hG7kq2Zp'{plus}c{plus}'w4'") == ["X9wQ", "hG7kq2Zp", "w4"]
+    inside = "ab/" + "0123456789abcdef" * 2 + "/Zq9"
+    assert found(f"private_key={inside}") == [inside]
+
+
 def test_secrets_table(odd, none):
     got = {r.doc_id: r for r in secrets.query_columns(odd).collect()}
     for r in odd.collect():
