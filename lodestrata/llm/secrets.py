@@ -37,9 +37,11 @@ SENSITIVE = {
 #: Literals that stand for a secret without being one.
 PLACEHOLDERS = re.compile(r"(?i)changeme|example|placeholder|your|dummy|redacted|none|null|true|false|\*{3}|x{4}|<.*>|\$\{.*\}|\{\{.*\}\}")
 
-_NAME = r"[A-Za-z_][A-Za-z0-9_.-]{0,79}"
-_PAIR = re.compile(rf"""(?<![A-Za-z0-9_.-])({_NAME})["']?[\x20\t]*(?::=|=>|=(?!=)|:(?!:|//))[\x20\t]*""")
-_QUOTED = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'""")
+#: A literal of more characters is no placeholder: nobody types one so long, and base64 has "none" or "your" in it by chance.
+LONGEST_PLACEHOLDER = 4096
+
+_PAIR = re.compile(r"""(?<![A-Za-z0-9_.-])([A-Za-z_][A-Za-z0-9_.-]*+)["']?[\x20\t]*(?::=|=>|=(?!=)|:(?!:|//))[\x20\t]*""")
+_QUOTED = re.compile(r""""((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'""")
 _RUN = re.compile(r"[A-Za-z0-9+/_=.-]+")
 _SPACE = re.compile(r"[\x20\t]*")
 _PLUS = re.compile(r"[\x20\t]*\+[\x20\t]*")
@@ -52,16 +54,81 @@ def name_score(name: str) -> float:
     return max([SENSITIVE.get(x, 0.0) for x in (*parts, "".join(parts), *map("".join, zip(parts, parts[1:], strict=False)))], default=0.0)
 
 
-def literal_score(value: str) -> float:
+def _score(counts: Counter, text: Callable[[], str]) -> float:
     """Between 0 and 1, by length, bits a character and kinds of characters; 0 for short texts, prose and placeholders."""
-    if len(value) < 8 or len(value) > 4096 or " " in value or PLACEHOLDERS.search(value):
+    size = sum(counts.values())
+    if size < 8 or " " in counts or size <= LONGEST_PLACEHOLDER and PLACEHOLDERS.search(text()):
         return 0.0
-    counts = Counter(value)
-    bits = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
-    kinds = sum(bool(re.search(x, value)) for x in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    bits = -sum(n / size * math.log2(n / size) for n in counts.values())
+    seen = "".join(counts)
+    kinds = sum(bool(re.search(x, seen)) for x in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     return min(1.0, bits / 3.5) * (0.4, 0.5, 0.85, 1.0, 1.0)[kinds]
 
 
+def literal_score(value: str) -> float:
+    return _score(Counter(value), lambda: value)
+
+
+class Value:
+    """What a name is given: literals as (start, end), and values of two parts or more that earlier constants have.
+
+    Earlier values are not copied, since constants may be doubled line after line: characters are counted once for each
+    value and spans taken once, and only values of at most LONGEST_PLACEHOLDER characters are spelled out.
+    """
+
+    __slots__ = ("counts", "parts", "taken")
+
+    def __init__(self, parts: list):
+        self.parts, self.counts, self.taken = parts, None, False
+
+
+def _tally(text: str, start: int, end: int, last: list) -> Counter:
+    """Characters of a literal.  Names in a run of a=b=c= share its end; there only what lies between starts is counted."""
+    shared = last and last[1] == end and last[0] <= start
+    counts = last[2] - Counter(text[last[0] : start]) if shared else Counter(text[start:end])
+    last[:] = start, end, counts
+    return counts
+
+
+def _counted(text: str, value: Value, last: list) -> Counter:
+    """How often each character is in the value; ``last`` is the start, end and characters of the literal before."""
+    stack = [value]
+    while stack:
+        top = stack[-1]
+        more = [x for x in top.parts if isinstance(x, Value) and x.counts is None] if top.counts is None else []
+        if more:
+            stack += more
+            continue
+        stack.pop()
+        if top.counts is None:
+            top.counts = Counter()
+            for x in top.parts:
+                top.counts.update(x.counts if isinstance(x, Value) else _tally(text, *x, last))
+    return value.counts
+
+
+def _spelled(text: str, value: Value) -> str:
+    out, stack = [], [value]
+    while stack:
+        top = stack.pop()
+        if isinstance(top, Value):
+            stack += reversed(top.parts)
+        else:
+            out.append(text[slice(*top)])
+    return "".join(out)
+
+
+def _take(value: Value, spans: set[tuple[int, int]]) -> None:
+    stack = [value]
+    while stack:
+        top = stack.pop()
+        if not isinstance(top, Value):
+            spans.add(top)
+        elif not top.taken:
+            top.taken = True
+            stack += top.parts
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m[1]) >= 6]
     if "AKIA" in text:
@@ -70,18 +137,17 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def assignments(text: str):
-    """Every (name, [(value, start, end), ...]): the literals that make up what the name is given, constants resolved.
+    """Every (name, Value): the literals that make up what the name is given, and constants in it.
 
     An unquoted run is a literal as a whole, unless it is a constant, or constants with + between them.  Where a + in it
     may be either, the run by itself is one more value of the name.
     """
-    constants: dict[str, list[tuple[str, int, int]]] = {}
+    constants: dict[str, Value] = {}
     for pair in _PAIR.finditer(text):
         at, found = pair.end(), []
         while True:
             if quoted := _QUOTED.match(text, at):
-                k = quoted.lastindex
-                found.append((quoted[k], *quoted.span(k)))
+                found.append(quoted.span(quoted.lastindex))
                 at = quoted.end()
             elif run := _RUN.match(text, at):
                 names = run[0].removesuffix("+").split("+")
@@ -89,12 +155,11 @@ def assignments(text: str):
                 if len(known) == len(names):
                     at = run.start() + len("+".join(names))
                 else:
-                    found.append((run[0], *run.span()))
+                    found.append(run.span())
                     at = run.end()
                     if "+" in run[0]:
-                        yield pair[1], found[-1:]
-                for x in known:
-                    found += constants[x]
+                        yield pair[1], Value(found[-1:])
+                found += [constants[x] for x in known]
                 if text[at - 1] == "+":
                     after = _SPACE.match(text, at).end()
                     if _QUOTED.match(text, after) or ((run := _RUN.match(text, after)) and run[0] in constants):
@@ -106,21 +171,21 @@ def assignments(text: str):
                 break
             at = plus.end()
         if found:
-            constants[pair[1]] = found[:64]
-            yield pair[1], found
+            parts = [x for x in found if (x.parts if isinstance(x, Value) else x[0] < x[1])]
+            constants[pair[1]] = parts[0] if len(parts) == 1 and isinstance(parts[0], Value) else Value(parts)
+            yield pair[1], constants[pair[1]]
 
 
 def literal_spans(text: str, base: list[tuple[str, int, int]], threshold: float) -> list[tuple[str, int, int]]:
     if "=" not in text and ":" not in text:
         return []
-    best: dict[tuple[int, int], float] = {}
-    for name, parts in assignments(text):
+    found: set[tuple[int, int]] = set()
+    last: list = []
+    for name, value in assignments(text):
         score = name_score(name)
-        if score and (score := score * literal_score("".join(x for x, _, _ in parts))) >= threshold:
-            for _, start, end in parts:
-                if end > start:
-                    best[start, end] = max(score, best.get((start, end), 0.0))
-    return [("literal", a, b) for a, b in best if not any(c <= a and b <= d for _, c, d in base)]
+        if score and not value.taken and score * _score(_counted(text, value, last), lambda value=value: _spelled(text, value)) >= threshold:
+            _take(value, found)
+    return [("literal", a, b) for a, b in sorted(found) if not any(c <= a and b <= d for _, c, d in base)]
 
 
 def all_spans(text: str, threshold: float) -> list[tuple[str, int, int]]:

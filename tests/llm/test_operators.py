@@ -130,6 +130,25 @@ def test_secret_unquoted_values_are_whole():
     assert found(f"private_key={inside}") == [inside]
 
 
+def test_secrets_have_no_length_limits():
+    found = lambda text: sorted((text[a:b] for k, a, b in secrets.all_spans(text, 0.5) if k == "literal"), key=text.index)
+    rng = random.Random(4)
+    for n in (3_075, 60_000, 300_000):
+        key = base64.b64encode(rng.randbytes(n)).decode()
+        for text in (f"private_key={key}", f'{{"privateKey": "{key}"}}', f"key = '{key}'"):
+            assert found(text) == [key]
+    pieces = [base64.b64encode(rng.randbytes(15)).decode() for _ in range(300)]
+    text = "blob = " + " + ".join(f'"{x}"' for x in pieces)
+    assert found(text + "\nclientCredential = blob") == pieces and found(text) == []
+    text = "s = ''\n" + "".join(f"s = s + '{x}'\n" for x in pieces)
+    assert found(text + "clientCredential = s") == pieces
+    name = "application.settings." * 10 + "private_key"
+    assert found(f"{name} = hG7kq2ZpX9wQ") == ["hG7kq2ZpX9wQ"]
+    assert found(f"{name} = 'hG7kq2Zp'\nb = {name} + 'X9wQ'\npwd = b")[0] == "hG7kq2Zp"
+    doubled = "a = 'hG7kq2ZpX9wQ'\n" + "a = a + a\n" * 2_000 + "client.credential = a\n" + "client.credential = client.credential\n" * 5_000
+    assert found(doubled) == ["hG7kq2ZpX9wQ"]
+
+
 def test_secrets_table(odd, none):
     got = {r.doc_id: r for r in secrets.query_columns(odd).collect()}
     for r in odd.collect():
