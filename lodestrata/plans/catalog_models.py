@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import scalars
 from lodestrata.operators import aggregates, filters, joins, mesh, windows
 from lodestrata.plans import forward, methods, objective, plates, synthetics
-from lodestrata.plans.flagship import dense_cells, gravity_of_hill
+from lodestrata.plans.flagship import dense_cells, gravity_of
 from lodestrata.plans.registry import query
 from lodestrata.sources import io
 
@@ -322,7 +322,7 @@ WITH_R = f"(SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS r FROM {PRISM})"
 
 @query("p01_gravity", f"SELECT id, round(sum(f * (dx * ln(dy + r) + dy * ln(dx + r) - dz * atan(coalesce(dx * dy / nullif(dz * r, 0), 0)))) * 6.6743e-3, 6) AS gz FROM {WITH_R} GROUP BY id")
 def _(v):
-    return gravity_of_hill(v.spark, v.folder)
+    return gravity_of(v, dense_cells(v))
 
 
 @query("p01_gravity_tensor", f"SELECT id, round(sum(-f * atan(dx * dy / (dz * r))) * 6.6743e-3, 6) AS gzz, round(sum(f * ln(dz + r)) * 6.6743e-3, 6) AS gxy, round(sum(f * ln(dy + r)) * 6.6743e-3, 6) AS gxz FROM {WITH_R} GROUP BY id")
@@ -407,8 +407,13 @@ def _(v):
     return rounded(aggregates.sensitivity_weights(j, 0.5), "weight")
 
 
+def _all_columns(v):
+    return v.table("embeddings").select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("cell_id", "g")).withColumn("g", F.col("g").cast("double"))
+
+
 def _kernel(v):
-    return v.table("embeddings").select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("cell_id", "g")).filter("cell_id < 16").withColumn("g", F.col("g").cast("double"))
+    """The first 16 columns, as in KERNEL."""
+    return _all_columns(v).filter("cell_id < 16")
 
 
 KERNEL = "(SELECT vec_id AS id, k.k AS cell_id, CAST(embedding[k.k + 1] AS DOUBLE) AS g FROM embeddings CROSS JOIN (SELECT CAST(range AS INTEGER) AS k FROM range(16)) k)"
@@ -434,7 +439,7 @@ def _(v):
 @query("r09_conjugate_gradients")
 def _(v):
     data = v.stations.select("id", (F.col("z") / 100).alias("value"))
-    model, _ = objective.conjugate_gradients(_kernel(v), data, 0.1, steps=8)
+    model, _ = objective.conjugate_gradients(_all_columns(v), data, 0.1, steps=8)
     return rounded(model, "value")
 
 
