@@ -1,9 +1,10 @@
 """WARC archives as a chunked record table.
 
 Writing: payloads become rows of (record, chunk number, bytes of at most CHUNK), each with the digest of its chunk and,
-on the last one, of the whole payload, computed as the chunks pass by.  A row is written as one WARC record of a text
-table: record segmentation of the standard (first record, then ``continuation`` records with segment numbers) carries
-payloads of several chunks, so neither side ever holds more than one chunk of an oversized payload.
+on the last one, of the whole payload.  A row is written as one WARC record of a text table: record segmentation of the
+standard (first record, then ``continuation`` records with segment numbers) carries payloads of several chunks.  The
+writer holds a page and its records in memory, several times the page's size, since the page is a single cell of the
+input table and its digest is hashed in one call; only reading is streamed and never holds more than one chunk.
 
 Reading: Spark splits the archives at the record separator, so large archives are read in parallel.  No payload holds the
 separator, because the writer ends a chunk in the middle of it.  Records of one chunk are checked where they are read;
