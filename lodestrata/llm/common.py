@@ -7,9 +7,7 @@ empty text, null ids pass through, repeated rows are treated as separate rows.
 
 from __future__ import annotations
 
-import gc
 import os
-import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -121,24 +119,38 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def release(spark: SparkSession) -> None:
-    """Free the disk of finished steps: Spark removes a shuffle's files once the JVM has collected the plan that made
-    them, which takes two collections (the first leaves what the last command still held)."""
-    for wait in (0.25, 0):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(wait)
+def _saved(df: DataFrame, path: str, compression: str) -> None:
+    """Write a table; the shuffle files of its plan are removed when it is there."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.set(key, "true")
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """A Parquet table in the shared folder, reread."""
+    """A Parquet table in the shared folder, reread; ``drop`` deletes it."""
     import uuid
 
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    _saved(df, path, compression)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made, once nothing reads them any more."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.table_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 # ---------------------------------------------------------------------------------------------------------- hashes

@@ -9,21 +9,23 @@ allocated by cost: after the entries have been counted, a set gives up its costl
 (those that more than HOT sets share) where the segments that it keeps, and the deletion segment, still prove that every
 partner is met.  Whether an entry is costly is the same for all sets, so a set and its partner agree on it.
 
-Exact copies of a set are one class from the start.  Candidates are verified exactly on the texts' shingle sets.
-In each bucket every class is a candidate with one centre (the class with the most and largest buckets), which is linear
-in the entries.  The components of these candidates are families; links are within families only.  In families of at
-most FAMILY members all are compared in one task, each text read once.  In larger ones:
-1. every member is compared with the family's centre;
-2. of two members that this left in different components both differences from the centre are known, and one of the two
-   differs by more than a link may.  Then a link between them
-   needs more than half of the other's differences in common (see ``overlap``), which few pairs pass: they are found by
-   a prefix filter with positions on the differences, rare ones first.
-So every link is either verified or joins two classes that are in one component anyhow, and the work does not grow with
-the square of a group of near copies.
+Exact copies of a set are one class from the start.  In each bucket every class is a candidate with one centre (the class
+with the most and largest buckets), which is linear in the entries, and is compared with it.  The Jaccard distance is a
+metric, so with r the distance that a link may have
+1. a class that links with the centre (near) links with no class that is further than 2 r from the centre (far);
+2. of two classes that are within 2 r of one centre both differences from it are known, and one of the two differs by
+   more than a link may.  Then a link between them needs more than half of the other's differences in common (see
+   ``overlap``), which few pairs pass: they are found by a prefix filter with positions on the differences, rare ones first;
+3. only pairs with a far class are left.  The bucket goes into another round without its near classes, and only if it has a
+   far one; classes that no longer share enough entries are sieved out again.
+After ROUNDS rounds the last one takes the differences of far classes as well, so that step 2 leaves nothing open.  So every
+link is either verified or joins two classes that are in one component anyhow, groups of all sizes go the same way, and
+the work does not grow with the square of a group of near copies.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable
 
@@ -32,15 +34,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import gram_hashes, map_slices, mix, texts, word_hashes, written
+from lodestrata.llm.common import gram_hashes, drop, map_slices, mix, prepare, slices, texts, word_hashes, written
 from lodestrata.llm.components import components
 
 #: Sets above which an entry counts as costly.
 HOT = 32
 #: Sets that are tried first for each set not linked with its centre.
 LIKELY = 4
-#: Members of a family of candidates that are compared within one task.
-FAMILY = 64
+#: Classes that are compared with one centre in a task.
+BLOCK = 256
+#: Rounds in which far classes wait for another centre.
+ROUNDS = 3
 #: How often sets that share too few entries, and entries that then stand alone, are sieved out.
 SIEVES = 2
 _SEGMENT, _VALUE, _FIRST, _SECOND = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
@@ -149,63 +153,122 @@ def index_prefix(size: int, most: int, num: int, den: int) -> int:
     return max(0, size - least + 1)
 
 
+def linked_sets(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    small, large = sorted((len(x), len(y)))
+    if not small or small * den < num * large:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and den * both >= num * (small + large - both)
+
+
 def verified(pairs: DataFrame, text: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) with whether they link, by the exact sets of their texts; the size of b's set; the shingles that they
-    differ by; and how many of these a prefix filter on b needs."""
+    """Those of the pairs (a, b) that link, by the exact sets of their texts."""
     rows = pairs.join(text.select(F.col("d").alias("a"), F.col("text").alias("text_a")), "a").join(text.select(F.col("d").alias("b"), F.col("text").alias("text")), "b")
-    bands = Bands(num, den, 1)
 
     def work(part):
-        left_texts = part.column("text_a").dictionary_encode()  # a centre's text is read once for all its pairs
+        left_texts = part.column("text_a").dictionary_encode()  # a text is read once for all its pairs in a slice
         left = shingle_sets(left_texts.dictionary, shingle)
         right = shingle_sets(part.column("text"), shingle)
-        out: dict[str, list] = {k: [] for k in ("linked", "n", "size", "differing", "indexed", "probing")}
-        for i, y in zip(left_texts.indices.to_pylist(), right, strict=True):
-            x = left[i]
-            mine, its = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
-            size, linked = len(mine) + len(its), False
-            if len(x) and len(y):
-                both = len(y) - len(mine)
-                linked = den * both >= num * (len(x) + len(y) - both)
-            most = bands.differ(len(y), bands.partner(len(y)))
-            indexed = index_prefix(size, most, num, den)
-            probing = 0 if linked else min(size, most + 1)
-            for k, v in (("linked", linked), ("n", len(y)), ("size", size), ("differing", np.concatenate([mine, its]).astype(np.int64)), ("indexed", indexed), ("probing", probing)):
-                out[k].append(v)
-        return {k: part.column(k) for k in ("a", "b")} | out
-
-    return map_slices(rows.select("a", "b", "text_a", "text"), work, "a long, b long, linked boolean, n int, size int, differing array<long>, indexed int, probing int")
-
-
-def apart(tried: DataFrame, reach: DataFrame) -> DataFrame:
-    """The differences (a, shingle, at, b, ...) of sets that met a centre whose sets are not all in one component, in the
-    order of how many sets of the centre have them: what the centre alone has or lacks comes last in all of them.  As
-    many of each set's as the filters need."""
+        linked = [linked_sets(left[i], y, num, den) for i, y in zip(left_texts.indices.to_pylist(), right, strict=True)]
+        return part.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    def columns(part):
+        got = work(part)
+        return {k: got.column(k) for k in ("a", "b")}
+
+    return map_slices(rows.select("a", "b", "text_a", "text"), columns, "a long, b long")
+
+
+def tried_members(pairs: DataFrame, text: DataFrame, shingle: int, num: int, den: int, far: bool) -> DataFrame:
+    """For pairs (a, b) of a centre and a class: whether they link, or else b is far from a; b's size; the shingles that
+    they differ by (without those of far classes, unless ``far``), and how many of them a prefix filter needs where b is
+    looked for and where it looks.
+
+    A centre's classes are dealt into blocks, each of which gets the centre's text, so no task holds a large group."""
+    bands = Bands(num, den, 1)
+    prepare(pairs.sparkSession)
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("rank"), F.col("b").alias("d"))
+    centres = blocks.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("rank"), F.col("a").alias("d"))
+    rows = members.unionByName(centres).join(text, "d").repartition("a", "block").sortWithinPartitions("a", "block", "rank").select("a", "rank", "d", "text")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("far", pa.bool_()), ("n", pa.int32()), ("size", pa.int32()), ("indexed", pa.int32()), ("probing", pa.int32()), ("differing", pa.list_(pa.int64()))])
+
+    def told(a: int, d: int, c: np.ndarray, y: np.ndarray) -> tuple:
+        mine, its = np.setdiff1d(y, c, assume_unique=True), np.setdiff1d(c, y, assume_unique=True)
+        size, both = len(mine) + len(its), len(y) - len(mine)
+        union = len(c) + len(mine)
+        linked = both > 0 and den * both >= num * union
+        apart = den * both < (2 * num - den) * union
+        if apart and not far:
+            return a, d, linked, apart, len(y), size, 0, 0, None
+        most = bands.differ(len(y), bands.partner(len(y)))
+        indexed = min(size, index_prefix(size, most, num, den))
+        return a, d, linked, apart, len(y), size, indexed, 0 if linked else min(size, most + 1), np.concatenate([mine, its]).astype(np.int64)
+
+    def run(batches):
+        centre = None
+        for batch in batches:
+            for part in slices(batch):
+                out = []
+                for a, rank, d, found in zip(*[part.column(k).to_pylist() for k in ("a", "rank", "d")], shingle_sets(part.column("text"), shingle), strict=True):
+                    if rank:
+                        out.append(told(a, d, centre, found))
+                    else:
+                        centre = found
+                        out.append((a, a, len(found) > 0, False, len(found), 0, 0, 0, []))
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return rows.mapInArrow(run, "a long, b long, linked boolean, far boolean, n int, size int, indexed int, probing int, differing array<long>")
+
+
+def unsettled(stars: list[DataFrame], reach: DataFrame, traits: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a centre and a class that may link with another class of the centre.  Two classes of which one is
+    the centre of a bucket that they share have been compared, so two that link and are in different components share
+    their more than spare buckets as members, and none of these holds one component only."""
+    out = []
+    for met in stars:
+        members = met.filter("a <> d").select("bucket", "a", "d").join(reach, F.col("d") == F.col("node"), "left").withColumn("component", F.coalesce("component", "d"))
+        mixed = members.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("bucket")
+        out.append(sieved(sieved(members.select("bucket", "a", "d").join(mixed, "bucket", "left_semi"), traits), traits).select("a", F.col("d").alias("b")))
+    return functools.reduce(DataFrame.unionByName, out).distinct()
+
+
+def prefixes(tried: DataFrame, reach: DataFrame) -> DataFrame:
+    """Of centres whose classes are not all in one component, the differences (a, shingle, at, b, ...) that classes without
+    a link to it look for (sought), and those by which all are found, in the order of how many classes of the centre have
+    them: what the centre alone has or lacks comes last in all of them."""
     members = tried.join(reach, F.col("b") == F.col("node"), "left").withColumn("component", F.coalesce("component", "b"))
-    mixed = members.groupBy("a").agg(F.count_if(~F.col("linked")).alias("unlinked"), F.min("component").alias("least"), F.max("component").alias("most")).filter("unlinked > 0 and least <> most").select("a")
-    kept = members.join(mixed, "a", "left_semi")
+    mixed = members.groupBy("a").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("a")
+    kept = tried.join(mixed, "a", "left_semi")
     single = kept.select("a", "b", F.explode("differing").alias("shingle"))
     often = single.groupBy("a", "shingle").agg(F.count("*").alias("often"))
     order = Window.partitionBy("a", "b").orderBy("often", "shingle")
     placed = single.join(often, ["a", "shingle"]).withColumn("at", F.row_number().over(order) - 1)
-    return placed.join(kept.drop("node", "differing"), ["a", "b"]).filter(F.col("at") < F.greatest("indexed", "probing")).select("a", "at", "shingle", "b", "linked", "n", "size", "indexed", "probing", "component")
+    each = placed.join(kept.select("a", "b", "linked", "n", "size", "indexed", "probing"), ["a", "b"])
+    return each.select("a", "shingle", "at", "b", "linked", "n", "size", (F.col("at") < F.col("probing")).alias("sought"), (F.col("at") < F.col("indexed")).alias("found")).filter("sought or found")
+
+
+def both_sides(each: DataFrame, reach: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is looked for, and what is found, with the components of the classes."""
+    named = each.join(reach, F.col("b") == F.col("node"), "left").withColumn("component", F.coalesce("component", "b"))
+    return named.filter("sought"), named.filter("found")
 
 
-def likely_pairs(each: DataFrame) -> DataFrame:
+def likely_pairs(seeking: DataFrame, found: DataFrame) -> DataFrame:
     """For each set that is not linked with its centre, the LIKELY sets that most of its differences name, where each
     difference names two sets that have it.  What this leaves out, possible_pairs finds."""
     key = F.struct(F.xxhash64("b").alias("h"), F.col("b"), F.col("component"))
-    named = each.filter("at < indexed").groupBy("a", "shingle").agg(F.min(key).alias("first"), F.max(key).alias("last"))
-    x = each.filter("at < probing").select("a", "shingle", F.col("b").alias("x"), F.col("component").alias("c"))
+    named = found.groupBy("a", "shingle").agg(F.min(key).alias("first"), F.max(key).alias("last"))
+    x = seeking.select("a", "shingle", F.col("b").alias("x"), F.col("component").alias("c"))
     y = named.select("a", "shingle", F.explode(F.array_distinct(F.array("first", "last"))).alias("y"))
     met = x.join(y, ["a", "shingle"]).filter(F.col("c") != F.col("y.component")).groupBy("x", F.col("y.b").alias("y")).agg(F.count("*").alias("met"))
     best = met.withColumn("rank", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("met"), "y"))).filter(F.col("rank") <= LIKELY)
     return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def possible_pairs(each: DataFrame, num: int, den: int) -> DataFrame:
+def possible_pairs(seeking: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
     """All pairs of sets in different components that may link, by a prefix filter with positions."""
-    x, y = each.filter(F.col("at") < F.col("probing")).alias("x"), each.filter(F.col("at") < F.col("indexed")).alias("y")
+    x, y = seeking.alias("x"), found.alias("y")
     col = F.col
     meet = (
         (col("x.a") == col("y.a")) & (col("x.shingle") == col("y.shingle")) & (col("x.component") != col("y.component")) & (col("y.linked") | (col("x.b") < col("y.b")))
@@ -215,50 +278,12 @@ def possible_pairs(each: DataFrame, num: int, den: int) -> DataFrame:
     return x.join(y, meet).select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
 
 
-def settle(shingle: int, num: int, den: int) -> Callable:
-    """Over rows (family, d, text) in order of family: (node, component) of all that link with another of their family."""
-
-    def linked(ids: list[int], found: list[str]) -> list[tuple[int, int]]:
-        sets = shingle_sets(pa.array(found, pa.string()), shingle)
-        root = list(range(len(ids)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        order = sorted(range(len(ids)), key=lambda i: len(sets[i]))
-        for at, i in enumerate(order):
-            for j in order[at + 1 :]:
-                if len(sets[i]) * den < num * len(sets[j]):
-                    break
-                if find(i) != find(j):
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if den * both >= num * (len(sets[i]) + len(sets[j]) - both) and both:
-                        root[find(i)] = find(j)
-        least: dict[int, int] = {}
-        for i, d in enumerate(ids):
-            least[find(i)] = min(d, least.get(find(i), d))
-        return [(d, least[find(i)]) for i, d in enumerate(ids) if any(find(i) == find(j) for j in range(len(ids)) if j != i)]
-
-    def run(batches):
-        schema = pa.schema([("node", pa.int64()), ("component", pa.int64())])
-        now, ids, found = None, [], []
-        for batch in batches:
-            out: list[tuple[int, int]] = []
-            for family, d, text in zip(*[batch.column(k).to_pylist() for k in ("family", "d", "text")], strict=True):
-                if family != now:
-                    out += linked(ids, found) if len(ids) > 1 else []
-                    now, ids, found = family, [], []
-                ids.append(d)
-                found.append(text)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=schema)
-        if len(ids) > 1 and (out := linked(ids, found)):
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=schema)
-
-    return run
+def sieved(entries: DataFrame, traits: DataFrame) -> DataFrame:
+    """The entries without those of sets that share too few: linked sets differ in H of a band's segments at most, so they
+    share more than are spare.  Entries that then stand alone go as well."""
+    enough = entries.groupBy("d").agg(F.count_if(F.pmod("bucket", F.lit(2)) == 0).alias("met")).join(traits, "d").filter("met > slack").select("d")
+    left = entries.drop("size").join(enough, "d", "left_semi")
+    return left.join(left.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "bucket")
 
 
 def near_components(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -292,13 +317,12 @@ def near_components(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     # copies have the entries of their class, which its first document keeps
     later = own.select("id", "s1", "s2", "n").join(classes.filter("copies > 1"), ["s1", "s2", "n"]).filter("id > d").select(F.col("id").alias("d"))
     shared = written(found.join(counts, "bucket").join(later, "d", "left_anti"), "entries")
-    # linked sets differ in H of a band's segments at most, so they share more than are spare
+    drop(counts)
     even = F.pmod("bucket", F.lit(2)) == 0
     traits = own.filter("id is not null").select(F.col("id").alias("d"), "slack", "stands_in").groupBy("d").agg(F.min("slack").alias("slack"), F.min("stands_in").alias("stands_in"))
     for _ in range(SIEVES):
-        enough = shared.groupBy("d").agg(F.count_if(even).alias("met")).join(traits, "d").filter("met > slack").select("d")
-        left = shared.drop("size").join(enough, "d", "left_semi")
-        shared = written(left.join(left.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "bucket"), "entries")
+        before, shared = shared, written(sieved(shared, traits), "entries")
+        drop(before)
 
     # what a set may give up, and how central it is
     hot = F.col("size") > HOT
@@ -306,40 +330,46 @@ def near_components(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     worth = worth.withColumn("gives", F.col("costly") <= F.col("slack") + ((F.col("costly_d") == 0) & F.col("stands_in")).cast("int")).select("d", "weight", "gives")
     kept = written(shared.join(worth, "d").filter(~(hot & F.col("gives"))).select("bucket", "d", "weight"), "entries")
 
+    drop(shared)
     named = kept.select("d").distinct()
     text = written(docs.join(named, docs["id"] == named["d"], "left_semi").groupBy("id").agg(F.min("text").alias("text")).select(F.col("id").alias("d"), "text"), "texts")
 
-    centre = kept.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("d")).alias("d"))).alias("c"), F.count("*").alias("size")).filter("size > 1").select("bucket", (-F.col("c.d")).alias("a"))
-    first = kept.join(centre, "bucket").filter("a <> d").select("a", F.col("d").alias("b")).distinct()
-
-    # small families of candidates fit a task, where every two of them are compared
-    family = written(components(first).withColumnRenamed("node", "d").withColumnRenamed("component", "family"), "families")
-    large = written(family.groupBy("family").agg(F.count("*").alias("members")).filter(F.col("members") > FAMILY).select("family"), "large")
-    members = text.join(family.join(large, "family", "left_anti"), "d").repartition("family").sortWithinPartitions("family")
-    settled = written(members.select("family", "d", "text").mapInArrow(settle(shingle, num, den), "node long, component long"), "settled")
-
-    # one centre for each large family: every member's differences from it tell which of them can link
-    in_large = family.join(large, "family", "left_semi").join(worth.select("d", "weight"), "d")
-    middle = in_large.groupBy("family").agg(F.max(F.struct("weight", (-F.col("d")).alias("d"))).alias("c")).select("family", (-F.col("c.d")).alias("a"))
-    first = in_large.join(middle, "family").filter("a <> d").select("a", F.col("d").alias("b"))
-    tried = written(verified(first, text, shingle, num, den), "tried")
+    rounds, stars = [], []
+    for k in range(ROUNDS + 1):
+        if k and kept.isEmpty():
+            break
+        centre = kept.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("d")).alias("d"))).alias("c")).select("bucket", (-F.col("c.d")).alias("a"))
+        met = written(kept.join(centre, "bucket").select("bucket", "a", "d", "weight"), "met")
+        drop(kept)
+        stars.append(met)
+        pairs = met.filter("a <> d").select("a", F.col("d").alias("b")).distinct()
+        rounds.append(written(tried_members(pairs, text, shingle, num, den, far=k == ROUNDS), "tried"))
+        if k == ROUNDS:
+            break
+        waiting = rounds[-1].filter("not linked").select("a", F.col("b").alias("d"), "far")
+        open_ = met.join(waiting, ["a", "d"]).withColumn("some", F.max("far").over(Window.partitionBy("bucket"))).filter("some").select("bucket", "d", "weight")
+        kept = written(sieved(open_, traits), "entries")
+    tried = functools.reduce(DataFrame.unionByName, rounds).dropDuplicates(["a", "b"])
     links = tried.filter("linked").select("a", "b")
     reach = written(components(links), "reach")
+    reaches = [reach]
 
-    # sets that met the same centre and are in different components: one link each is enough, so likely ones come first
-    each = written(apart(tried, reach), "differing")
-    likely = written(verified(likely_pairs(each), text, shingle, num, den).filter("linked").select("a", "b"), "links")
+    # sets that met one centre and are in different components: one link each is enough, so likely ones come first
+    wanted = written(unsettled(stars, reach, traits), "wanted")
+    each = written(prefixes(tried.filter("differing is not null").join(wanted, ["a", "b"], "left_semi"), reach), "prefixes")
+    likely = written(verified(likely_pairs(*both_sides(each, reach)), text, shingle, num, den), "links")
     if not likely.isEmpty():
         links = links.unionByName(likely)
         reach = written(components(links), "reach")
-        each = written(apart(tried, reach), "differing")
-    more = written(verified(possible_pairs(each, num, den), text, shingle, num, den).filter("linked").select("a", "b"), "links")
+        reaches.append(reach)
+    more = written(verified(possible_pairs(*both_sides(each, reach), num, den), text, shingle, num, den), "links")
     if not more.isEmpty():
         reach = components(links.unionByName(more))
-    reach = reach.unionByName(settled)
     named = classes.select("s1", "s2", "n", "d", "copies").join(reach, F.col("d") == F.col("node"), "left").filter("copies > 1 or component is not null").select("s1", "s2", "n", F.coalesce("component", "d").alias("component"))
     joined = own.select("id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
-    return joined.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id"))
+    out = written(joined.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id")), "components")
+    drop(own, classes, text, wanted, each, likely, more, *rounds, *stars, *reaches)
+    return out
 
 
 def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:

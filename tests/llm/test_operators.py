@@ -253,10 +253,11 @@ def plain_components(rows, shingle, num, den):
     return {i: (len(sets[i]), find(i)) for i in order}
 
 
-@pytest.mark.parametrize(("shingle", "num", "den", "family", "spare"), [(3, 90, 100, 64, None), (5, 80, 100, 2, None), (1, 70, 100, 2, 1)])
-def test_ngram_join(spark, monkeypatch, shingle, num, den, family, spare):
+@pytest.mark.parametrize(("shingle", "num", "den", "rounds", "spare"), [(3, 90, 100, 3, None), (5, 80, 100, 0, None), (1, 70, 100, 1, 1)])
+def test_ngram_join(spark, monkeypatch, shingle, num, den, rounds, spare):
     monkeypatch.setattr(ngram_join, "HOT", 4)  # so that entries are given up
-    monkeypatch.setattr(ngram_join, "FAMILY", family)  # so that families are large
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
     if spare:  # so that sets have more empty segments than are spare
         monkeypatch.setattr(ngram_join.Bands, "needless", staticmethod(lambda low, h: spare))
     rng = random.Random(shingle)
@@ -277,6 +278,21 @@ def test_ngram_join(spark, monkeypatch, shingle, num, den, family, spare):
     assert got == plain_components(rows, shingle, num, den)
 
 
+def test_ngram_join_of_large_groups(spark):
+    """Groups of 10, 100 and 1,000 about the threshold, with the constants as they are."""
+    rng, rows = random.Random(4), []
+    for size in (10, 100, 1000):
+        base = [str(rng.randrange(10**6)) for _ in range(60)]
+        for _ in range(size):
+            own = list(base)
+            for k in rng.sample(range(60), rng.choice([0, 1, 1, 2, 2, 3])):
+                own[k] = str(rng.randrange(10**6))
+            rows.append((len(rows), " ".join(own)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_components(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, num=80, den=100).collect()}
+    assert got == plain_components(rows, 5, 80, 100)
+    assert len({c for _, c in got.values()}) > 10
+
+
 def test_ngram_join_odd(odd, none):
     got = ngram_join.near_components(odd).collect()
     assert len(got) == odd.count() and {r.doc_id: r.component_id for r in got}[7] == 6
