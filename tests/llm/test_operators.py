@@ -5,6 +5,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -473,6 +474,8 @@ def test_quality_odd(spark, odd, none):
 
 def test_html_parse():
     text = lambda page: "\n\n".join(t for t, _ in html_text.parse(page)[0])
+    assert text('<article><h1 class="article-header">Head</h1><p class="social-history">told</p><div class="share">no</div></article>') == "Head\n\ntold"
+    assert text("<div>" * 3000 + "<nav>menu</nav>" + "<p>deep</p>" + "</div>" * 3000 + "<p>after") == "deep\n\nafter"
     assert text("") == "" and text("plain &amp; simple") == "plain & simple"
     page = '<body><nav>menu</nav><article><h1>T &amp; t</h1><p>a\n  b<br>c<p>d <b>e<i>f</b> g</p><script>x="</p>"</script><ul><li>one<li>two</ul><div class="user-comments"><p>hey</div><form>q</form></article><footer>f</footer>'
     assert text(page) == "T & t\n\na b c\n\nd ef g\n\none\n\ntwo"
@@ -482,13 +485,45 @@ def test_html_parse():
     assert text('<article><p>text</p><article class="comment"><p>no</p></article></article>') == "text"
 
 
+def test_html_parser_is_linear():
+    began = time.process_time()
+    for page in ("<a b" * 250_000, "<a \"" * 250_001, "<a '\"" * 160_001, "<b>" * 300_000, "<div>" * 200_000 + "x", "<div><p>a" * 100_000, "<b>" + "<div>" * 100_000 + "</b>" * 100_000, "<a " + "b" * 1_000_000 + ">x"):
+        html_text.parse(page)
+    assert time.process_time() - began < 60
+
+
+def test_html_tags_are_what_a_pattern_finds():
+    """The scanner against a plain pattern, on short odd pages."""
+    pattern = re.compile(r"<(?:(!--)|([!?])|(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)")
+    rng = random.Random(5)
+    for _ in range(3000):
+        page = "".join(rng.choice(["<a", "<b ", "</a", ">", '"', "'", " x=", "y", "<", "/"]) for _ in range(rng.randrange(1, 25)))
+        tags, at, got, asked = html_text.Tags(page), 0, [], []
+        while found := tags.next(at):
+            at = found[1]
+            got.append(found[:2])
+        at = 0
+        while m := pattern.search(page, at):
+            at = m.end()
+            asked.append(m.span())
+        assert got == asked, page
+
+
 def test_html_templates(spark, none):
+    """Against a plain count: a container on ten pages of a host that differ is a template; copies of a page count once."""
     box = "<div><div>Join us today</div><ul><li>x</ul></div>"
     pages = [(i, f"https://u@Site.example:80/{i}", f"<p>own text {i}</p>{box}<p>all pages say this</p>") for i in range(30)]
-    pages += [(100 + i, f"http://other{i}.example/", f"<p>own text {i}</p>{box}") for i in range(30)] + [(500, None, None), (501, "odd", "")]
-    got = {r.page_id: r for r in html_text.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    pages += [(100 + i, f"http://s{i}.example/", f"<p>own text {i}</p>{box}") for i in range(30)]
+    pages += [(200 + i, "http://copies.example/", f"<div><p>one page</p></div>{box}") for i in range(30)] + [(500, None, None), (501, None, "")]
+    pages += [(600 + i, "http://large.example/", f"<p>t {i}</p>" + (box if i < 10 else "")) for i in range(1000)] + [(600, "http://large.example/", f"<p>t 0</p>{box}")]
+    table = spark.createDataFrame([(*p, "x", 1) for p in pages], "page_id long, url string, html string, id string, at int")
+    rows = html_text.extract_text(table).collect()
+    got = {r.page_id: r for r in rows}
+    assert len(rows) == len(pages) and len([r for r in rows if r.page_id == 600]) == 2
     assert all(got[i].text == f"own text {i}\n\nall pages say this" for i in range(30))  # a paragraph is no container
     assert all(got[100 + i].text == f"own text {i}\n\nJoin us today\n\nx" for i in range(30))
+    assert all(got[200 + i].text == "one page\n\nJoin us today\n\nx" for i in range(30))
+    assert all(got[600 + i].text == f"t {i}" for i in range(1000))
     assert got[500].text == got[501].text == "" and got[500].url is None
     assert html_text.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
@@ -519,8 +554,25 @@ def test_warc_small_payloads_do_not_revisit(spark, tmp_path):
     assert warc.read_archives(spark, f"file://{tmp_path}/e").count() == 0
 
 
+def test_warc_repeated_rows_and_null_ids(spark, tmp_path):
+    """Two rows of one id in several chunks, a null id with a payload that others have, and columns named like outputs."""
+    rows = [(5, "u", "a" * 200), (5, "u", "a" * 200), (6, "u", "a" * 200), (6, "u", "b" * 90), (None, "u", "a" * 200), (None, None, None), (8, "u", "")]
+    table = spark.createDataFrame([(*r, "x", -1, "y") for r in rows], "page_id long, url string, html string, id string, size int, first string")
+    warc.write_archives(table, f"file://{tmp_path}/w", chunk=50)
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_archives(spark, f"file://{tmp_path}/w").collect()), key=str)
+    assert got == sorted([(5, 200, "response", None), (5, 200, "response", None), (6, 200, "revisit", 5), (6, 90, "response", None), (None, 200, "response", None), (None, 0, "response", None), (8, 0, "response", None)], key=str)
+
+
+def test_warc_of_a_long_payload(spark, tmp_path):
+    """20 MB in chunks of 1 MB, beside a short one."""
+    rows = [(1, "u", "é漢 x\r\n" * 2_000_000), (2, "u", "short")]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w")
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.read_archives(spark, f"file://{tmp_path}/w").collect()}
+    assert got == {i: (len(h.encode()), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()) for i, _, h in rows}
+
+
 def test_warc_checks_digests():
-    text = warc.record_text("1", "u", "response", 1, True, 3, "X", "", b"abc", "2024-01-01T00:00:00Z")
+    text = warc.record_text("0-0", "1", "u", "response", 1, True, 3, "X", "", b"abc", "2024-01-01T00:00:00Z")
     fields, data = warc.parsed(text)
     assert data == b"abc" and fields["Content-Length"] == "3"
     with pytest.raises(ValueError, match="bytes"):
