@@ -43,8 +43,8 @@ HOT = 32
 LIKELY = 4
 #: Classes that are compared with one centre in a task.
 BLOCK = 256
-#: Rounds in which far classes wait for another centre.
-ROUNDS = 3
+#: Rounds in which far classes wait for another centre.  More of them leave fewer differences to the last one.
+ROUNDS = 1
 #: How often sets that share too few entries, and entries that then stand alone, are sieved out.
 SIEVES = 2
 _SEGMENT, _VALUE, _FIRST, _SECOND = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
@@ -179,6 +179,10 @@ def verified(pairs: DataFrame, text: DataFrame, shingle: int, num: int, den: int
     return map_slices(rows.select("a", "b", "text_a", "text"), columns, "a long, b long")
 
 
+def union(tables: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, tables)
+
+
 def tried_members(pairs: DataFrame, text: DataFrame, shingle: int, num: int, den: int, far: bool) -> DataFrame:
     """For pairs (a, b) of a centre and a class: whether they link, or else b is far from a; b's size; the shingles that
     they differ by (without those of far classes, unless ``far``), and how many of them a prefix filter needs where b is
@@ -215,8 +219,8 @@ def tried_members(pairs: DataFrame, text: DataFrame, shingle: int, num: int, den
                         out.append(told(a, d, centre, found))
                     else:
                         centre = found
-                        out.append((a, a, len(found) > 0, False, len(found), 0, 0, 0, []))
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return rows.mapInArrow(run, "a long, b long, linked boolean, far boolean, n int, size int, indexed int, probing int, differing array<long>")
 
@@ -225,12 +229,16 @@ def unsettled(stars: list[DataFrame], reach: DataFrame, traits: DataFrame) -> Da
     """Pairs (a, b) of a centre and a class that may link with another class of the centre.  Two classes of which one is
     the centre of a bucket that they share have been compared, so two that link and are in different components share
     their more than spare buckets as members, and none of these holds one component only."""
-    out = []
-    for met in stars:
-        members = met.filter("a <> d").select("bucket", "a", "d").join(reach, F.col("d") == F.col("node"), "left").withColumn("component", F.coalesce("component", "d"))
-        mixed = members.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("bucket")
-        out.append(sieved(sieved(members.select("bucket", "a", "d").join(mixed, "bucket", "left_semi"), traits), traits).select("a", F.col("d").alias("b")))
-    return functools.reduce(DataFrame.unionByName, out).distinct()
+    met = union([x.filter("a <> d").select(F.lit(k).alias("round"), "bucket", "a", "d") for k, x in enumerate(stars)])
+    members = met.join(reach, F.col("d") == F.col("node"), "left").withColumn("component", F.coalesce("component", "d"))
+    mixed = members.groupBy("round", "bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("round", "bucket")
+    left = written(members.select("round", "bucket", "a", "d").join(mixed, ["round", "bucket"], "left_semi"), "unsettled")
+    for _ in range(SIEVES):
+        before, left = left, written(sieved(left, traits, "round"), "unsettled")
+        drop(before)
+    out = written(left.select("a", F.col("d").alias("b")).distinct(), "wanted")
+    drop(left)
+    return out
 
 
 def prefixes(tried: DataFrame, reach: DataFrame) -> DataFrame:
@@ -278,12 +286,12 @@ def possible_pairs(seeking: DataFrame, found: DataFrame, num: int, den: int) ->
     return x.join(y, meet).select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
 
 
-def sieved(entries: DataFrame, traits: DataFrame) -> DataFrame:
+def sieved(entries: DataFrame, traits: DataFrame, *of: str) -> DataFrame:
     """The entries without those of sets that share too few: linked sets differ in H of a band's segments at most, so they
     share more than are spare.  Entries that then stand alone go as well."""
-    enough = entries.groupBy("d").agg(F.count_if(F.pmod("bucket", F.lit(2)) == 0).alias("met")).join(traits, "d").filter("met > slack").select("d")
-    left = entries.drop("size").join(enough, "d", "left_semi")
-    return left.join(left.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "bucket")
+    enough = entries.groupBy(*of, "d").agg(F.count_if(F.pmod("bucket", F.lit(2)) == 0).alias("met")).join(traits, "d").filter("met > slack").select(*of, "d")
+    left = entries.drop("size").join(enough, [*of, "d"], "left_semi")
+    return left.join(left.groupBy(*of, "bucket").agg(F.count("*").alias("size")).filter("size > 1"), [*of, "bucket"])
 
 
 def near_components(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -319,7 +327,8 @@ def near_components(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     shared = written(found.join(counts, "bucket").join(later, "d", "left_anti"), "entries")
     drop(counts)
     even = F.pmod("bucket", F.lit(2)) == 0
-    traits = own.filter("id is not null").select(F.col("id").alias("d"), "slack", "stands_in").groupBy("d").agg(F.min("slack").alias("slack"), F.min("stands_in").alias("stands_in"))
+    traits = own.filter("id is not null and size(entries) > 0").select(F.col("id").alias("d"), "slack", "stands_in")
+    traits = written(traits.groupBy("d").agg(F.min("slack").alias("slack"), F.min("stands_in").alias("stands_in")), "traits")
     for _ in range(SIEVES):
         before, shared = shared, written(sieved(shared, traits), "entries")
         drop(before)
@@ -343,20 +352,22 @@ def near_components(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
         drop(kept)
         stars.append(met)
         pairs = met.filter("a <> d").select("a", F.col("d").alias("b")).distinct()
+        if rounds:
+            pairs = pairs.join(union(rounds).filter("differing is not null").select("a", "b"), ["a", "b"], "left_anti")
         rounds.append(written(tried_members(pairs, text, shingle, num, den, far=k == ROUNDS), "tried"))
         if k == ROUNDS:
             break
-        waiting = rounds[-1].filter("not linked").select("a", F.col("b").alias("d"), "far")
+        waiting = union(rounds).filter("not linked").select("a", F.col("b").alias("d"), "far").distinct()
         open_ = met.join(waiting, ["a", "d"]).withColumn("some", F.max("far").over(Window.partitionBy("bucket"))).filter("some").select("bucket", "d", "weight")
         kept = written(sieved(open_, traits), "entries")
-    tried = functools.reduce(DataFrame.unionByName, rounds).dropDuplicates(["a", "b"])
+    tried = union(rounds).filter("differing is not null")  # no pair twice
     links = tried.filter("linked").select("a", "b")
     reach = written(components(links), "reach")
     reaches = [reach]
 
     # sets that met one centre and are in different components: one link each is enough, so likely ones come first
-    wanted = written(unsettled(stars, reach, traits), "wanted")
-    each = written(prefixes(tried.filter("differing is not null").join(wanted, ["a", "b"], "left_semi"), reach), "prefixes")
+    wanted = unsettled(stars, reach, traits)
+    each = written(prefixes(tried.join(wanted, ["a", "b"], "left_semi"), reach), "prefixes")
     likely = written(verified(likely_pairs(*both_sides(each, reach)), text, shingle, num, den), "links")
     if not likely.isEmpty():
         links = links.unionByName(likely)
@@ -368,7 +379,7 @@ def near_components(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     named = classes.select("s1", "s2", "n", "d", "copies").join(reach, F.col("d") == F.col("node"), "left").filter("copies > 1 or component is not null").select("s1", "s2", "n", F.coalesce("component", "d").alias("component"))
     joined = own.select("id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
     out = written(joined.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id")), "components")
-    drop(own, classes, text, wanted, each, likely, more, *rounds, *stars, *reaches)
+    drop(own, classes, traits, text, wanted, each, likely, more, *rounds, *stars, *reaches)
     return out
 
 
