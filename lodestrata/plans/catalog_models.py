@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import scalars
 from lodestrata.operators import aggregates, filters, joins, mesh, windows
 from lodestrata.plans import forward, methods, objective, plates, synthetics
-from lodestrata.plans.flagship import dense_cells, gravity_of
+from lodestrata.plans.flagship import all_cells, gravity_of
 from lodestrata.plans.registry import query
 from lodestrata.sources import io
 
@@ -208,7 +208,7 @@ def _(v):
 FACES = "(SELECT 'i' AS axis, a.cell_id AS a, b.cell_id AS b FROM cells a JOIN cells b ON b.i = a.i + 1 AND b.j = a.j AND b.k = a.k UNION ALL SELECT 'j', a.cell_id, b.cell_id FROM cells a JOIN cells b ON b.i = a.i AND b.j = a.j + 1 AND b.k = a.k UNION ALL SELECT 'k', a.cell_id, b.cell_id FROM cells a JOIN cells b ON b.i = a.i AND b.j = a.j AND b.k = a.k + 1)"
 
 
-@query("g01_connected_parts", "WITH RECURSIVE b AS (SELECT v0 AS u, v1 AS v FROM edges UNION SELECT v1, v0 FROM edges), r AS (SELECT u, u AS l FROM b UNION SELECT b.v, r.l FROM r JOIN b ON b.u = r.u) SELECT u AS node, min(l) AS part FROM r GROUP BY u")
+@query("g01_connected_parts", "WITH RECURSIVE b AS MATERIALIZED (SELECT v0 AS u, v1 AS v FROM edges UNION SELECT v1, v0 FROM edges), r(u, l) USING KEY (u) AS (SELECT u, min(u) FROM b GROUP BY u UNION SELECT b.v, min(r.l) FROM r JOIN b ON b.u = r.u JOIN recurring.r AS k ON k.u = b.v WHERE r.l < k.l GROUP BY b.v) SELECT u AS node, l AS part FROM r")
 def _(v):
     return mesh.connected_parts(v.edges)
 
@@ -315,19 +315,19 @@ def _(v):
 # -------------------------------------------------------------------------------------------------------- responses
 
 CORNERS = "(SELECT 50.0e0 * a.s AS sx, 50.0e0 * b.s AS sy, 50.0e0 * c.s AS sz, CAST(a.s * b.s * c.s AS DOUBLE) AS mu FROM (VALUES (-1), (1)) a(s), (VALUES (-1), (1)) b(s), (VALUES (-1), (1)) c(s))"
-DENSE = "(SELECT xc, yc, zc, (cell_id % 7) * 0.1e0 + 0.1e0 AS density FROM cells WHERE cell_id % 16 = 5)"
+DENSE = "(SELECT xc, yc, zc, (cell_id % 7) * 0.1e0 + 0.1e0 AS density FROM cells)"
 PRISM = f"(SELECT s.id, c.density * k.mu AS f, c.xc + k.sx - s.x AS dx, c.yc + k.sy - s.y AS dy, c.zc + k.sz - s.z AS dz FROM stations s, {DENSE} c, {CORNERS} k)"
 WITH_R = f"(SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS r FROM {PRISM})"
 
 
 @query("p01_gravity", f"SELECT id, round(sum(f * (dx * ln(dy + r) + dy * ln(dx + r) - dz * atan(coalesce(dx * dy / nullif(dz * r, 0), 0)))) * 6.6743e-3, 6) AS gz FROM {WITH_R} GROUP BY id")
 def _(v):
-    return gravity_of(v, dense_cells(v))
+    return gravity_of(v, all_cells(v))
 
 
 @query("p01_gravity_tensor", f"SELECT id, round(sum(-f * atan(dx * dy / (dz * r))) * 6.6743e-3, 6) AS gzz, round(sum(f * ln(dz + r)) * 6.6743e-3, 6) AS gxy, round(sum(f * ln(dy + r)) * 6.6743e-3, 6) AS gxz FROM {WITH_R} GROUP BY id")
 def _(v):
-    return rounded(forward.gravity(v.stations, dense_cells(v), 100.0, ("gzz", "gxy", "gxz")), "gzz", "gxy", "gxz")
+    return rounded(forward.gravity(v.stations, all_cells(v), 100.0, ("gzz", "gxy", "gxz")), "gzz", "gxy", "gxz")
 
 
 FIELD = (50000.0, 60.0, 10.0)
@@ -339,14 +339,14 @@ B = [f"sum(m * ({d} * al * 3.0e0 / power(r2, 2.5) - {u!r} / power(r2, 1.5)))" fo
 
 @query("p02_magnetic", f"SELECT id, round({B[0]}, 4) AS bx, round({B[0]} * {U[0]!r} + {B[1]} * {U[1]!r} + {B[2]} * {U[2]!r}, 4) AS tmi FROM {ALONG} GROUP BY id")
 def _(v):
-    cells = dense_cells(v).select("xc", "yc", "zc", (F.col("density") * 0.01).alias("susceptibility"))
+    cells = all_cells(v).select("xc", "yc", "zc", (F.col("density") * 0.01).alias("susceptibility"))
     return forward.magnetic(v.stations, cells, 100.0, FIELD).select("id", F.round("bx", 4).alias("bx"), F.round("tmi", 4).alias("tmi"))
 
 
 @query("p02_magnetic_vector", f"SELECT id, round({B[0]} * {U[0]!r} + {B[1]} * {U[1]!r} + {B[2]} * {U[2]!r}, 4) AS tmi FROM {ALONG} GROUP BY id")
 def _(v):
     parts = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(u).alias("u")) for k, u in enumerate(U)])).alias("p")
-    cells = dense_cells(v).select("xc", "yc", "zc", "density", parts).select("xc", "yc", "zc", F.col("p.k").alias("component"), (F.col("density") * 0.01 * F.col("p.u")).alias("value"))
+    cells = all_cells(v).select("xc", "yc", "zc", "density", parts).select("xc", "yc", "zc", F.col("p.k").alias("component"), (F.col("density") * 0.01 * F.col("p.u")).alias("value"))
     return forward.magnetic_vector(v.stations, cells, 100.0, 50000.0, U).select("id", F.round("tmi", 4).alias("tmi"))
 
 
@@ -411,23 +411,18 @@ def _all_columns(v):
     return v.table("embeddings").select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("cell_id", "g")).withColumn("g", F.col("g").cast("double"))
 
 
-def _kernel(v):
-    """The first 16 columns, as in KERNEL."""
-    return _all_columns(v).filter("cell_id < 16")
+KERNEL = "(SELECT vec_id AS id, CAST(k AS INTEGER) AS cell_id, CAST(embedding[k + 1] AS DOUBLE) AS g FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS k FROM embeddings))"
 
 
-KERNEL = "(SELECT vec_id AS id, k.k AS cell_id, CAST(embedding[k.k + 1] AS DOUBLE) AS g FROM embeddings CROSS JOIN (SELECT CAST(range AS INTEGER) AS k FROM range(16)) k)"
-
-
-@query("r05_initial_beta", f"SELECT round(sum(v * v) / 16.0e0 * 10.0e0, 6) AS beta FROM (SELECT id, sum(g) AS v FROM {KERNEL} GROUP BY id)")
+@query("r05_initial_beta", f"SELECT round(sum(v * v) / (SELECT max(len(embedding)) FROM embeddings) * 10.0e0, 6) AS beta FROM (SELECT id, sum(g) AS v FROM {KERNEL} GROUP BY id)")
 def _(v):
-    ones = v.spark.range(16).select(F.col("id").cast("int").alias("cell_id"), F.lit(1.0).alias("value"))
-    return rounded(objective.initial_beta(_kernel(v), ones, 10.0), "beta")
+    ones = _all_columns(v).select("cell_id").distinct().withColumn("value", F.lit(1.0))
+    return rounded(objective.initial_beta(_all_columns(v), ones, 10.0), "beta")
 
 
 @query("r06_preconditioner", f"SELECT cell_id, round(1.0e0 / (sum(g * g) + 0.1e0), 6) AS value FROM {KERNEL} GROUP BY cell_id")
 def _(v):
-    return rounded(objective.preconditioner(_kernel(v), 0.1), "value")
+    return rounded(objective.preconditioner(_all_columns(v), 0.1), "value")
 
 
 @query("r08_misfit_scales", "WITH p AS (SELECT line_id AS tile, CAST(count(*) AS DOUBLE) AS phi FROM stations GROUP BY line_id) SELECT tile, round((SELECT max(phi) FROM p) / phi, 6) AS multiplier FROM p")
@@ -514,9 +509,9 @@ def _(v):
     return plates.realized(v.cells, _history(), ("background", 1.0)).select("cell_id", "name", "value")
 
 
-@query("e08_replicated_plates", f"SELECT s.id, k.k AS copy, round(s.x + (k.k * 50.0e0 - 50.0e0) * {math.sin(math.radians(30.0))!r}, 6) AS x, round(s.y + (k.k * 50.0e0 - 50.0e0) * {math.cos(math.radians(30.0))!r}, 6) AS y FROM stations s CROSS JOIN (VALUES (0), (1), (2)) k(k) WHERE s.line_id = 1")
+@query("e08_replicated_plates", f"SELECT s.id, k.k AS copy, round(s.x + (k.k * 50.0e0 - 50.0e0) * {math.sin(math.radians(30.0))!r}, 6) AS x, round(s.y + (k.k * 50.0e0 - 50.0e0) * {math.cos(math.radians(30.0))!r}, 6) AS y FROM stations s CROSS JOIN (VALUES (0), (1), (2)) k(k)")
 def _(v):
-    out = plates.replicated(filters.on_line(v.stations, 1).select("id", "x", "y"), 3, 50.0, 30.0)
+    out = plates.replicated(v.stations.select("id", "x", "y"), 3, 50.0, 30.0)
     return rounded(out.select("id", "copy", "x", "y"), "x", "y")
 
 

@@ -70,9 +70,9 @@ def _(v):
     return rounded(v.stations.select("id", a.alias("u"), b.alias("w")), "u", "w")
 
 
-@query("x30_forms", "SELECT id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, '{\"id\":' || id || ',\"kind\":\"' || event_type || '\"}' AS form FROM readings WHERE id < 500")
+@query("x30_forms", "SELECT id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, '{\"id\":' || id || ',\"kind\":\"' || event_type || '\"}' AS form FROM readings")
 def _(v):
-    return v.readings.filter("id < 500").select("id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.to_json(F.struct("id", F.col("event_type").alias("kind"))).alias("form"))
+    return v.readings.select("id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.to_json(F.struct("id", F.col("event_type").alias("kind"))).alias("form"))
 
 
 @query("x31_value_map", "SELECT unit, count(*) AS n FROM (SELECT CASE unit WHEN 0 THEN 'unknown' WHEN 1 THEN 'till' ELSE 'rock' END AS unit FROM model) GROUP BY unit")

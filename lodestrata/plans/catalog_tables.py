@@ -162,10 +162,9 @@ def _(v):
 NEAREST = "row_number() OVER (PARTITION BY {a}.{i} ORDER BY sqrt(({a}.x - {b}.x) * ({a}.x - {b}.x) + ({a}.y - {b}.y) * ({a}.y - {b}.y)), {b}.id)"
 
 
-@query("j01_receivers_by_loop", "SELECT s.id, s.line_id AS tx_id, l.seq, l.x FROM stations s JOIN (SELECT line_id, pos AS seq, x FROM electrodes WHERE pos <= 3) l ON l.line_id = s.line_id")
+@query("j01_receivers_by_loop", "SELECT s.id, s.tx_id, l.seq, l.x FROM loops s JOIN loops l ON l.tx_id = s.tx_id")
 def _(v):
-    loops = v.electrodes.filter("pos <= 3").select(F.col("line_id").alias("tx_id"), F.col("pos").alias("seq"), "x")
-    return joins.by_transmitter(v.stations.select("id", F.col("line_id").alias("tx_id")), loops)
+    return joins.by_transmitter(v.loops.select("id", "tx_id"), v.loops.select("tx_id", "seq", "x"))
 
 
 @query("j02_source_order", "SELECT ab, CAST(row_number() OVER (ORDER BY min(cell_id)) - 1 AS INTEGER) AS place, count(*) AS receivers FROM dipoles GROUP BY ab")
@@ -183,9 +182,9 @@ def _(v):
     return joins.positions_in(v.electrodes.withColumn("line_id", F.col("line_id").cast("long")), v.readings, "line_id").withColumn("line_id", F.col("line_id").cast("int"))
 
 
-@query("j05_frequency_pairs", "WITH tx AS (SELECT id AS tx, line_id AS frequency, CAST(row_number() OVER (PARTITION BY line_id ORDER BY id) - 1 AS INTEGER) AS n FROM stations) SELECT r.id, t.frequency, t.tx FROM (SELECT id, pos - 1 AS n FROM electrodes WHERE line_id = 0) r JOIN tx t ON t.n = r.n")
+@query("j05_frequency_pairs", "WITH tx AS (SELECT id AS tx, line_id AS frequency, CAST(row_number() OVER (PARTITION BY line_id ORDER BY id) - 1 AS INTEGER) AS n FROM stations) SELECT r.id, t.frequency, t.tx FROM (SELECT id, pos - 1 AS n FROM electrodes) r JOIN tx t ON t.n = r.n")
 def _(v):
-    rx = v.electrodes.filter("line_id = 0").select("id", (F.col("pos") - 1).alias("n"))
+    rx = v.electrodes.select("id", (F.col("pos") - 1).alias("n"))
     return joins.nth_of_frequency(rx, v.stations.select(F.col("id").alias("tx"), F.col("line_id").alias("frequency"))).select("id", "frequency", "tx")
 
 
@@ -408,16 +407,16 @@ def _(v):
     return rounded(windows.cell_widths(v.stations, "line_id", "x", "x").select("id", "width"), "width")
 
 
-@query("w04_layer_heights", "WITH l AS (SELECT s.id AS prism_id, k.k, s.z AS top, s.z - 10.0e0 * (k.k + 1) AS bottom FROM stations s CROSS JOIN (SELECT range AS k FROM range(4)) k WHERE s.line_id = 1) SELECT prism_id, k, round(coalesce(lag(bottom) OVER (PARTITION BY prism_id ORDER BY k), top) - bottom, 6) AS height FROM l")
+@query("w04_layer_heights", "WITH l AS (SELECT s.id AS prism_id, k.k, s.z AS top, s.z - 10.0e0 * (k.k + 1) AS bottom FROM stations s CROSS JOIN (SELECT range AS k FROM range(4)) k) SELECT prism_id, k, round(coalesce(lag(bottom) OVER (PARTITION BY prism_id ORDER BY k), top) - bottom, 6) AS height FROM l")
 def _(v):
-    layers = filters.on_line(v.stations, 1).crossJoin(v.range(4, "k")).select(F.col("id").alias("prism_id"), "k", F.col("z").alias("top"), (F.col("z") - (F.col("k") + 1) * 10.0).alias("bottom"))
+    layers = v.stations.crossJoin(v.range(4, "k")).select(F.col("id").alias("prism_id"), "k", F.col("z").alias("top"), (F.col("z") - (F.col("k") + 1) * 10.0).alias("bottom"))
     return rounded(windows.layer_heights(layers).select("prism_id", "k", "height"), "height")
 
 
-@query("w05_draped_columns", "WITH h AS (SELECT range AS k, 10.0e0 * power(1.1e0, range) AS h FROM range(6)), d AS (SELECT k, sum(h) OVER (ORDER BY k) AS depth FROM h) SELECT s.id AS prism_id, d.k, round(s.z - d.depth, 6) AS bottom FROM stations s CROSS JOIN d WHERE s.line_id = 1")
+@query("w05_draped_columns", "WITH h AS (SELECT range AS k, 10.0e0 * power(1.1e0, range) AS h FROM range(6)), d AS (SELECT k, sum(h) OVER (ORDER BY k) AS depth FROM h) SELECT s.id AS prism_id, d.k, round(s.z - d.depth, 6) AS bottom FROM stations s CROSS JOIN d")
 def _(v):
     heights = v.range(6, "k").withColumn("h", F.pow(F.lit(1.1), F.col("k").cast("double")) * 10.0)
-    columns = filters.on_line(v.stations, 1).select(F.col("id").alias("prism_id"), F.col("z").alias("top"))
+    columns = v.stations.select(F.col("id").alias("prism_id"), F.col("z").alias("top"))
     return rounded(windows.draped_columns(columns, heights).select("prism_id", "k", "bottom"), "bottom")
 
 
@@ -458,12 +457,12 @@ def _(v):
     return windows.every_nth(v.model, 8, 3)
 
 
-LOOP = "SELECT a.line_id AS tx_id, a.pos AS seq, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM electrodes a JOIN electrodes b ON a.line_id = b.line_id AND b.pos = a.pos + 1 WHERE a.pos <= 5"
+LOOP = "SELECT a.tx_id, a.seq, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM loops a JOIN loops b ON a.tx_id = b.tx_id AND b.seq = a.seq + 1"
 
 
 def _loop(v):
-    a = v.electrodes.filter("pos <= 5").select(F.col("line_id").alias("tx_id"), F.col("pos").alias("seq"), F.col("x").alias("x0"), F.col("y").alias("y0"))
-    b = v.electrodes.select(F.col("line_id").alias("tx_id"), (F.col("pos") - 1).alias("seq"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+    a = v.loops.select("tx_id", "seq", F.col("x").alias("x0"), F.col("y").alias("y0"))
+    b = v.loops.select("tx_id", (F.col("seq") - 1).alias("seq"), F.col("x").alias("x1"), F.col("y").alias("y1"))
     return a.join(b, ["tx_id", "seq"])
 
 
@@ -472,10 +471,10 @@ def _(v):
     return windows.counter_clockwise(_loop(v))
 
 
-@query("o02_closed_loops", "WITH s AS (SELECT a.line_id AS tx_id, a.pos AS seq, a.id AS v0, b.id AS v1 FROM electrodes a JOIN electrodes b ON a.line_id = b.line_id AND b.pos = a.pos + 1 WHERE a.pos <= 5) SELECT tx_id, seq, v0, v1 FROM s UNION ALL SELECT tx_id, max(seq) + 1, max_by(v1, seq), min_by(v0, seq) FROM s GROUP BY tx_id HAVING max_by(v1, seq) <> min_by(v0, seq)")
+@query("o02_closed_loops", "WITH s AS (SELECT a.tx_id, a.seq, a.id AS v0, b.id AS v1 FROM loops a JOIN loops b ON a.tx_id = b.tx_id AND b.seq = a.seq + 1) SELECT tx_id, seq, v0, v1 FROM s UNION ALL SELECT tx_id, max(seq) + 1, max_by(v1, seq), min_by(v0, seq) FROM s GROUP BY tx_id HAVING max_by(v1, seq) <> min_by(v0, seq)")
 def _(v):
-    a = v.electrodes.filter("pos <= 5").select(F.col("line_id").alias("tx_id"), F.col("pos").alias("seq"), F.col("id").alias("v0"))
-    b = v.electrodes.select(F.col("line_id").alias("tx_id"), (F.col("pos") - 1).alias("seq"), F.col("id").alias("v1"))
+    a = v.loops.select("tx_id", "seq", F.col("id").alias("v0"))
+    b = v.loops.select("tx_id", (F.col("seq") - 1).alias("seq"), F.col("id").alias("v1"))
     return windows.closed(a.join(b, ["tx_id", "seq"]))
 
 

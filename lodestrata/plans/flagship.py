@@ -14,11 +14,6 @@ def all_cells(v: Views) -> DataFrame:
     return v.cells.select("cell_id", "xc", "yc", "zc", (F.col("cell_id") % 7 * 0.1 + 0.1).alias("density"))
 
 
-def dense_cells(v: Views) -> DataFrame:
-    """A sixteenth of the cells, with a density: those of the queries that have SQL, which reads no others."""
-    return all_cells(v).filter("cell_id % 16 = 5").drop("cell_id")
-
-
 def gravity_of(v: Views, cells: DataFrame) -> DataFrame:
     return gravity(v.stations, cells, 100.0).select("id", F.round("gz", 6).alias("gz"))
 

@@ -67,6 +67,12 @@ class Views:
 
         return self.stations.withColumn("pos", F.row_number().over(Window.partitionBy("line_id").orderBy("id")).cast("int"))
 
+    @cached_property
+    def loops(self) -> DataFrame:
+        """Every electrode as a vertex of a loop: six after one another on a line make one."""
+        loop = (F.col("line_id").cast("long") * 1000000 + F.floor((F.col("pos") - 1) / 6)).alias("tx_id")
+        return self.electrodes.select(loop, ((F.col("pos") - 1) % 6 + 1).cast("int").alias("seq"), "id", "x", "y")
+
     @cached_property
     def dipoles(self) -> DataFrame:
         """M-N dipoles of neighbouring electrodes of a line; every fifth is a pole (M is N)."""
@@ -77,7 +83,7 @@ class Views:
     @cached_property
     def edges(self) -> DataFrame:
         """A bipartite graph with cycles."""
-        return self.table("lineitem").filter("l_orderkey <= 100").select(F.col("l_partkey").alias("v0"), (F.col("l_suppkey") + 1000000).alias("v1"))
+        return self.table("lineitem").select(F.col("l_partkey").alias("v0"), (F.col("l_suppkey") + 1000000).alias("v1"))
 
     @cached_property
     def units(self) -> DataFrame:
@@ -102,8 +108,9 @@ SQL = {
     "model": "SELECT cell_id, (cell_id % 7) * 0.01e0 AS value, CAST(cell_id % 4 AS INTEGER) AS unit, cell_id % 5 <> 0 AS active FROM cells",
     "topo": "SELECT id, x, y, round(exp(-(x * x + y * y) / 80000.0e0) * 50.0e0, 6) AS z FROM (SELECT range AS id, (range % 17) * 50.0e0 - 400.0e0 AS x, (range // 17) * 50.0e0 - 400.0e0 AS y FROM range(289))",
     "electrodes": "SELECT *, CAST(row_number() OVER (PARTITION BY line_id ORDER BY id) AS INTEGER) AS pos FROM stations",
+    "loops": "SELECT CAST(line_id AS BIGINT) * 1000000 + (pos - 1) // 6 AS tx_id, CAST((pos - 1) % 6 + 1 AS INTEGER) AS seq, id, x, y FROM electrodes",
     "dipoles": "SELECT a.id AS cell_id, a.id AS m, CASE WHEN a.id % 5 = 0 THEN a.id ELSE b.id END AS n, a.id % 9 AS ab, a.line_id FROM electrodes a JOIN electrodes b ON a.line_id = b.line_id AND b.pos = a.pos + 1",
-    "edges": "SELECT l_partkey AS v0, l_suppkey + 1000000 AS v1 FROM lineitem WHERE l_orderkey <= 100",
+    "edges": "SELECT l_partkey AS v0, l_suppkey + 1000000 AS v1 FROM lineitem",
     "units": "SELECT c_custkey AS cell_id, c_mktsegment AS unit, abs(c_acctbal) AS volume, c_acctbal AS property FROM customer",
     "readings": "SELECT event_id AS id, user_id AS line_id, ts AS t, value, event_type, props FROM events",
     "predicted": "SELECT id, component, value * 1.01e0 + 0.002e0 AS value FROM observed",
