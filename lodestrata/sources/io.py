@@ -76,3 +76,31 @@ def line_files(lookup: DataFrame, column: str = "value") -> DataFrame:
     """(line_id, file, status) of a sweep's lookup JSON, an object of line ids with their status."""
     entries = F.explode(F.map_entries(F.from_json(column, "map<string,struct<line_id:int,status:string>>"))).alias("e")
     return lookup.select(entries).select(F.col("e.value.line_id").alias("line_id"), F.col("e.key").alias("file"), F.col("e.value.status").alias("status"))
+
+
+def read_lines(spark: SparkSession, path: str, comment: str = "//") -> DataFrame:
+    """(value) of a text file's lines, without blank ones and those that begin with the comment mark."""
+    return spark.read.text(path).filter((F.trim("value") != "") & ~F.startswith(F.col("value"), F.lit(comment)))
+
+
+def read_waveform(spark: SparkSession, path: str) -> DataFrame:
+    """(t, current) of a text asset of two columns separated by blanks or commas."""
+    parts = F.split(F.trim("value"), r"[\s,]+")
+    return read_lines(spark, path).select(F.get(parts, 0).cast("double").alias("t"), F.get(parts, 1).cast("double").alias("current"))
+
+
+def read_channels(spark: SparkSession, path: str) -> DataFrame:
+    """(t, width) of time channels, in the same form."""
+    return read_waveform(spark, path).withColumnRenamed("current", "width")
+
+
+def read_colors(spark: SparkSession, path: str) -> DataFrame:
+    """(id, name, r, g, b) of a colour table."""
+    schema = "id int, name string, r int, g int, b int"
+    row = F.from_csv("value", schema, {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}).alias("_c")
+    return read_lines(spark, path).select(row).select("_c.*").filter("id is not null")
+
+
+def read_lookup(spark: SparkSession, path: str) -> DataFrame:
+    """(line_id, file, status) of a sweep's lookup file."""
+    return line_files(spark.read.option("wholetext", True).text(path))
