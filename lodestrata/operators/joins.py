@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.operators.windows import numbered
+from lodestrata.plans.checkpoints import cut
+
 
 def distance(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     return F.sqrt(reduce(lambda s, t: s + t, [(p - q) * (p - q) for p, q in zip(a, b, strict=True)]))
@@ -21,37 +24,49 @@ def suggested_width(df: DataFrame, axes: tuple[str, ...], per_bucket: int = 4) -
     return math.prod(wide) ** (1 / len(wide)) * (per_bucket / max(1, found["n"])) ** (1 / len(wide)) if wide else 1.0
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int = 1, axes: tuple[str, ...] = ("x", "y", "z"), width: float | None = None, left_id: str = "id", right_id: str = "id", other_than_self: bool = False, levels: int = 4) -> DataFrame:
+def _extent(df: DataFrame, axes: list[str]) -> list[tuple[float, float]]:
+    found = df.agg(*[f(a).alias(f"{n}{a}") for a in axes for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    return [(found[f"lo{a}"], found[f"hi{a}"]) for a in axes]
+
+
+def nearest(left: DataFrame, right: DataFrame, k: int = 1, axes: tuple[str, ...] = ("x", "y", "z"), width: float | None = None, left_id: str = "id", right_id: str = "id", other_than_self: bool = False) -> DataFrame:
     """(left id, right id as ``nn_id``, distance ``d``, ``rank``) of each left row's k nearest right rows; ties by id.
 
     Right rows are put into grid buckets; left rows probe the buckets around their own, an equi-join.  A left row is done
-    when its k-th neighbour is no farther than the probed ring is wide.  Others probe a grid of four times the width, and
-    what is left after ``levels`` grids (sparse or very uneven data) is compared with all right rows.
+    when its k-th neighbour is no farther than the probed ring is wide; the others probe a grid of four times the width,
+    until none is left or the grid's buckets hold everything.  Each step is cut by a checkpoint, so that none is done
+    again.  Rows with a null or NaN coordinate have no neighbour and are nobody's; a right table of fewer than k rows gives
+    all of them.
     """
-    width = width or suggested_width(right, axes)
-    l = left.select(F.col(left_id).alias("_id"), *[F.col(a).alias(f"_l{i}") for i, a in enumerate(axes)])
-    r = right.select(F.col(right_id).alias("nn_id"), *[F.col(a).alias(f"_r{i}") for i, a in enumerate(axes)])
-    own = [F.col(f"_l{i}") for i in range(len(axes))]
-    d = distance(tuple(own), tuple(F.col(f"_r{i}") for i in range(len(axes)))).alias("d")
+    names = [f"_l{i}" for i in range(len(axes))], [f"_r{i}" for i in range(len(axes))]
+    whole = lambda df: df.filter(" and ".join(f"{a} is not null and not isnan({a})" for a in axes))
+    todo = whole(left).select(F.col(left_id).alias("_id"), *[F.col(a).cast("double").alias(n) for a, n in zip(axes, names[0], strict=True)])
+    r = whole(right).select(F.col(right_id).alias("nn_id"), *[F.col(a).cast("double").alias(n) for a, n in zip(axes, names[1], strict=True)])
+    ends = list(zip(_extent(todo, names[0]), _extent(r, names[1]), strict=True))
+    own = [F.col(n) for n in names[0]]
+    d = distance(tuple(own), tuple(F.col(n) for n in names[1])).alias("d")
     rank = F.row_number().over(Window.partitionBy("_id").orderBy("d", "nn_id"))
-    apart = F.col("_id") != F.col("nn_id")
-    done, todo = [], l
-    for _ in range(levels):
+    out = todo.crossJoin(r.limit(0)).select("_id", "nn_id", d).withColumn("rank", F.lit(0))
+    if any(x is None for both in ends for end in both for x in end):
+        return out.withColumnRenamed("_id", left_id)
+    span = max(max(a[1], b[1]) - min(a[0], b[0]) for a, b in ends)
+    width = width or suggested_width(whole(right), axes)
+    while True:
         key = lambda c, w=width: F.floor(c / w)
         near = todo
         for i, c in enumerate(own):
             near = near.withColumn(f"_k{i}", F.explode(F.array(*[key(c) + s for s in (-1, 0, 1)])))
-        keys = [f"_k{i}" for i in range(len(axes))]
-        there = r.select("*", *[key(F.col(f"_r{i}")).alias(f"_k{i}") for i in range(len(axes))])
-        met = near.join(there, keys).select("_id", "nn_id", d)
-        met = (met.filter(apart) if other_than_self else met).withColumn("rank", rank).filter(F.col("rank") <= k)
+        there = r.select("*", *[key(F.col(n)).alias(f"_k{i}") for i, n in enumerate(names[1])])
+        met = near.join(there, [f"_k{i}" for i in range(len(axes))]).select("_id", "nn_id", d)
+        met = cut((met.filter(F.col("_id") != F.col("nn_id")) if other_than_self else met).withColumn("rank", rank).filter(F.col("rank") <= k))
+        if width >= span:
+            return out.unionByName(met).withColumn("rank", F.col("rank").cast("int")).withColumnRenamed("_id", left_id)
         sure = met.groupBy("_id").agg(F.count("*").alias("_n"), F.max("d").alias("_far")).filter((F.col("_n") == k) & (F.col("_far") <= width)).select("_id")
-        done.append(met.join(sure, "_id", "left_semi"))
-        todo = todo.join(sure, "_id", "left_anti")
+        out = out.unionByName(met.join(sure, "_id", "left_semi"))
+        todo = cut(todo.join(sure, "_id", "left_anti"))
+        if todo.isEmpty():
+            return out.withColumn("rank", F.col("rank").cast("int")).withColumnRenamed("_id", left_id)
         width *= 4
-    rest = todo.crossJoin(r).select("_id", "nn_id", d)
-    rest = (rest.filter(apart) if other_than_self else rest).withColumn("rank", rank).filter(F.col("rank") <= k)
-    return reduce(DataFrame.unionByName, [*done, rest]).withColumn("rank", F.col("rank").cast("int")).withColumnRenamed("_id", left_id)
 
 
 def nearest_value(target: DataFrame, source: DataFrame, value: str, axes: tuple[str, ...] = ("x", "y", "z"), target_id: str = "id", source_id: str = "id", zero_is_missing: bool = False, width: float | None = None) -> DataFrame:
@@ -120,7 +135,7 @@ def by_transmitter(receivers: DataFrame, loops: DataFrame) -> DataFrame:
 def sources_in_order(dipoles: DataFrame, source: str = "ab") -> DataFrame:
     """(source, place, receivers): sources in the order in which they first appear, with how many receivers they have."""
     first = dipoles.groupBy(source).agg(F.min("cell_id").alias("_first"), F.count("*").alias("receivers"))
-    return first.select(F.col(source), (F.row_number().over(Window.orderBy("_first")) - 1).cast("int").alias("place"), "receivers")
+    return numbered(first, ["_first"], "place").select(F.col(source), F.col("place").cast("int").alias("place"), "receivers")
 
 
 def positions_in(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.operators.joins import nearest
+from lodestrata.operators.windows import numbered
 
 
 def component_data(wide: DataFrame, component: str, uncertainty: str | float, id_col: str = "id") -> DataFrame:
@@ -27,22 +28,12 @@ def survey_copy(vertices: DataFrame, dipoles: DataFrame, mask: Column) -> tuple[
     of their ids, as a copy that stands by itself."""
     kept = dipoles.filter(mask)
     used = kept.select(F.explode(F.array("m", "n")).alias("id")).distinct()
-    new = numbered(vertices.join(used, "id", "left_semi"), "id", "new_id")
+    new = numbered(vertices.join(used, "id", "left_semi"), ["id"], "new_id")
     ids = new.select("id", "new_id")
     renamed = kept.join(ids.select(F.col("id").alias("m"), F.col("new_id").alias("new_m")), "m").join(ids.select(F.col("id").alias("n"), F.col("new_id").alias("new_n")), "n")
     return new, renamed
 
 
-def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
-    """Rows with their place (from 0) in an order by an integer column without ties.  Rows are ranked within ranges of the
-    column and the ranges' sizes added up, so no task holds the table: only one row for each range meets in one window."""
-    width = df.agg(F.greatest(F.lit(1), F.ceil((F.max(order) - F.min(order) + 1) / 1024)).alias("_w"), F.min(order).alias("_lo"))
-    ranged = df.crossJoin(F.broadcast(width)).withColumn("_r", F.floor((F.col(order) - F.col("_lo")) / F.col("_w")).cast("int")).drop("_w", "_lo")
-    before = ranged.groupBy("_r").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    within = ranged.withColumn(name, F.row_number().over(Window.partitionBy("_r").orderBy(order)) - 1)
-    return within.join(F.broadcast(before), "_r").withColumn(name, F.col(name) + F.col("_before")).drop("_r", "_before")
-
-
 def model_in_order(model: DataFrame, order: DataFrame, resistivity: bool = False) -> DataFrame:
     """(place, name, value) of a model in mesh order; ``order`` maps cell_id to place.  Conductivities are saved as
     resistivities under that name where asked."""
@@ -142,7 +133,7 @@ def on_triangles(locations: DataFrame, vertices: DataFrame, triangles: DataFrame
 def in_first_order(df: DataFrame, value: str, order: str) -> DataFrame:
     """(value, first, place): distinct values in the order of their first appearance."""
     first = df.groupBy(value).agg(F.min(order).alias("first"))
-    return numbered(first, "first", "place")
+    return numbered(first, ["first"], "place")
 
 
 def reversed_layers(layers: DataFrame, group: str, order: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.operators.windows import numbered
+
 
 def tiles_by_label(stations: DataFrame, n_tiles: int, label: str = "line_id") -> DataFrame:
     """(id, tile): with at least as many labels as tiles, whole labels are dealt out evenly in their order."""
@@ -41,7 +43,7 @@ def tiles_for(stations: DataFrame, method: str, n_tiles: int) -> DataFrame:
     if "2d" in method:
         return stations.select("id", F.lit(0).alias("tile"))
     if "1d" in method:
-        return stations.select("id", (F.row_number().over(Window.orderBy("id")) - 1).cast("int").alias("tile"))
+        return numbered(stations.select("id"), ["id"], "tile").select("id", F.col("tile").cast("int").alias("tile"))
     return tiles_by_label(stations, n_tiles)
 
 

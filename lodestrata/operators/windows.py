@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.plans.checkpoints import cut
+
 
 def along_line(df: DataFrame, line: str = "line_id", order: str = "pos") -> DataFrame:
     """Adds ``along``: the distance walked in plan from the line's first station."""
@@ -44,9 +46,24 @@ def time_steps(times: DataFrame, unit: float = 1.0) -> DataFrame:
     return t.withColumn("dt", F.bround(F.lead("t").over(Window.orderBy("t")) - F.col("t"), 6) * unit).filter(F.col("dt").isNotNull())
 
 
+def numbered(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
+    """Rows with their place (from 0) in an order without ties.  Rows are dealt by ranges of the order and counted within
+    them; the ranges' sizes, a row for each partition, are added up.  So no task holds the table.  Cut by a checkpoint, as
+    the ranges are found by sampling and must stay the same."""
+    rows = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    sizes = rows.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    return rows.withColumn("_within", within).join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.col("_within")).drop("_p", "_within", "_before")
+
+
 def even_split(df: DataFrame, n: int, order: list[str], name: str = "part") -> DataFrame:
-    """Parts of equal size in an order; the first ones are one longer where it does not divide."""
-    return df.withColumn(name, (F.ntile(n).over(Window.orderBy(*order)) - 1).cast("int"))
+    """Parts of equal size in an order without ties; the first ones are one longer where it does not divide."""
+    size = df.agg(F.floor(F.count("*") / n).alias("_s"), (F.count("*") % n).alias("_l"))
+    place, short, longer = F.col("_at"), F.col("_s"), F.col("_l")
+    edge = longer * (short + 1)
+    part = F.when(place < edge, F.floor(place / (short + 1))).otherwise(longer + F.floor((place - edge) / F.greatest(short, F.lit(1))))
+    return numbered(df, order, "_at").crossJoin(F.broadcast(size)).withColumn(name, part.cast("int")).drop("_at", "_s", "_l")
 
 
 def coded(df: DataFrame, columns: list[Column], name: str = "code") -> DataFrame:
@@ -54,14 +71,14 @@ def coded(df: DataFrame, columns: list[Column], name: str = "code") -> DataFrame
     rows of the table never meet in one task."""
     keyed = df.withColumns({f"_c{i}": c for i, c in enumerate(columns)})
     names = [f"_c{i}" for i in range(len(columns))]
-    codes = keyed.select(*names).distinct().withColumn(name, (F.row_number().over(Window.orderBy(*names)) - 1).cast("int"))
+    codes = numbered(keyed.select(*names).distinct(), names, name).withColumn(name, F.col(name).cast("int"))
     return keyed.join(codes, names).drop(*names)
 
 
 def renumbered(vertices: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Vertices that cells (m, n) use with new ids from 0, and the cells with them."""
     used = cells.select(F.explode(F.array("m", "n")).alias("id")).distinct()
-    codes = used.withColumn("new_id", (F.row_number().over(Window.orderBy("id")) - 1).cast("int"))
+    codes = numbered(used, ["id"], "new_id").withColumn("new_id", F.col("new_id").cast("int"))
     m, n = (codes.select(F.col("id").alias(a), F.col("new_id").alias(f"new_{a}")) for a in "mn")
     return vertices.join(codes, "id"), cells.join(m, "m").join(n, "n")
 
@@ -85,7 +102,7 @@ def circumradius(df: DataFrame, order: str, x: str, y: str) -> DataFrame:
 def every_nth(model: DataFrame, n: int, part: int) -> DataFrame:
     """A strided slice of a model from the bottom up: (place, value)."""
     rows = model.filter(F.col("cell_id") % n == part)
-    return rows.select((F.row_number().over(Window.orderBy(F.desc("cell_id"))) - 1).cast("int").alias("place"), "value")
+    return numbered(rows, [F.desc("cell_id")], "place").select(F.col("place").cast("int").alias("place"), "value")
 
 
 def counter_clockwise(loop: DataFrame, group: str = "tx_id", order: str = "seq") -> DataFrame:

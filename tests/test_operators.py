@@ -222,3 +222,31 @@ def test_empty_and_repeated_rows(spark):
     assert aggregates.window_of(none).count() == 1 and filters.clamped_depth(none, 1.0).count() == 0
     twice = points(spark, [(0, 0, 0), (1, 0, 0)]).union(points(spark, [(0, 0, 0)]))
     assert filters.clamped_depth(twice, 1.0).count() == 3
+
+
+def test_nearest_without_places_and_far_away(spark):
+    """Null and NaN coordinates have no neighbour; few right rows are all found; far rows still find theirs."""
+    from lodestrata.operators import joins
+
+    left = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 1.0), (3, float("nan"), 1.0), (4, 1e7, -1e7)], "id long, x double, y double")
+    right = spark.createDataFrame([(10, 0.0, 1.0), (11, 5.0, 5.0), (12, None, 0.0)], "id long, x double, y double")
+    got = {(r.id, r["rank"]): r.nn_id for r in joins.nearest(left, right, 3, ("x", "y")).collect()}
+    assert got == {(1, 1): 10, (1, 2): 11, (4, 1): 10, (4, 2): 11}
+    assert joins.nearest(left, right.limit(0), 1, ("x", "y")).count() == 0
+
+
+def test_numbered_and_even_split(spark):
+    from lodestrata.operators import windows
+
+    rows = spark.createDataFrame([(i * 37 % 1009, str(i)) for i in range(1009)], "id long, name string").repartition(7)
+    assert all(r.at == r.id for r in windows.numbered(rows, ["id"], "at").collect())
+    sizes = sorted(r["count"] for r in windows.even_split(rows, 10, ["id"]).groupBy("part").count().collect())
+    assert sizes == [100] + [101] * 9
+    assert sorted(r.part for r in windows.even_split(rows.limit(3), 5, ["id"]).collect()) == [0, 1, 2]
+    assert windows.numbered(rows.limit(0), ["id"], "at").count() == 0
+
+
+def test_split_evenly():
+    from lodestrata.operators import survey
+
+    assert survey.split_evenly([5, 5, 5], 4) == [2, 1, 1] and survey.split_evenly([1, 1], 4) == [1, 1] and survey.split_evenly([], 3) == []
