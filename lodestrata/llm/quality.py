@@ -15,16 +15,15 @@ import math
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import gram_hashes, map_slices, raw, texts, word_hashes, written
+from lodestrata.llm.common import gram_hashes, map_slices, prepare, raw, texts, word_hashes, written
 
 WINDOW = 8
 #: Measures in steps of 1/STEPS; a rule rejects texts whose measure is at or above its cutoff.
 STEPS = 200
-#: Strata beyond this number are put together, as the driver holds the counts of each.
-MAX_STRATA = 1000
 
 _SPACES = b" \t\n\v\f\r"
 _SYMBOLS = b"#*$%&|<>"
@@ -100,34 +99,59 @@ def measure(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 
+def beta_share(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction (evaluated from the side where it settles
+    fast)."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_share(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny = 1e-300
+    value, c, d = 1.0, 1.0, 0.0
+    for i in range(100_000):
+        m = i // 2
+        if i == 0:
+            term = 1.0
+        elif i % 2:
+            term = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        else:
+            term = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        d = 1 / ((1 + term * d) or tiny)
+        c = (1 + term / c) or tiny
+        value *= c * d
+        if abs(c * d - 1) < 1e-14 and i > 2:
+            break
+    return front * (value - 1)
+
+
+def at_most(bad: int, n: int, share: float) -> float:
+    """The chance of ``bad`` or fewer of n at a given share."""
+    return 1.0 if bad >= n else beta_share(n - bad, bad + 1, 1 - share)
+
+
 def upper_bound(bad: int, n: int, confidence: float) -> float:
     """The exact binomial upper bound on a share of which ``bad`` of ``n`` were seen."""
     if bad >= n:
         return 1.0
     low, high = bad / n, 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) for k in range(bad + 1)]
     for _ in range(50):
         p = (low + high) / 2
-        chance = sum(math.exp(c + k * math.log(p) + (n - k) * math.log1p(-p)) for k, c in enumerate(logs))
-        low, high = (p, high) if chance > 1 - confidence else (low, p)
+        low, high = (p, high) if at_most(bad, n, p) > 1 - confidence else (low, p)
     return high
 
 
-def cutoffs(counts: dict[str, dict[str, dict[int, int]]], risk: float, confidence: float) -> dict[str, dict[str, int]]:
-    """Cutoff steps by stratum and rule, from how many good holdout texts of a stratum have which step of a rule."""
-    out: dict[str, dict[str, int]] = {}
-    sure = 1 - (1 - confidence) / max(1, len(counts) * len(RULES))
-    for stratum, rules in counts.items():
-        for rule, steps in rules.items():
-            n, bad, chosen = sum(steps.values()), 0, None
-            for step in range(STEPS, 0, -1):
-                bad += steps.get(step, 0)
-                if upper_bound(bad, n, sure) > risk / len(RULES):
-                    break
-                chosen = step
-            if chosen is not None:
-                out.setdefault(stratum, {})[rule] = chosen
-    return out
+def cutoff(steps: dict[int, int], risk: float, confidence: float) -> int | None:
+    """The strictest proved cutoff of one stratum and rule, from how many good holdout texts have which step of it: the
+    upper bound on their share beyond it is at most ``risk`` where so few would be seen with a chance of 1 - confidence at
+    most, were it ``risk``."""
+    n, bad, chosen = sum(steps.values()), 0, None
+    for step in range(STEPS, 0, -1):
+        bad += steps.get(step, 0)
+        if at_most(bad, n, risk) > 1 - confidence:
+            break
+        chosen = step
+    return chosen
 
 
 def step_of(rule: str) -> Column:
@@ -137,26 +161,28 @@ def step_of(rule: str) -> Column:
 def judge(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality", risk: float = 0.05, confidence: float = 0.95) -> DataFrame:
     """id, the counts of STATS, base_failed, rejected_by (names of rules) and kept of every document.
 
-    Good labelled texts that pass the base rule are the holdout.  Texts without a stratum form one of their own; strata
-    beyond MAX_STRATA are put together.  With no labels nothing but the base rule rejects.  Counts go to a table in the
-    shared folder; the holdout is counted by stratum, rule and step in Spark, over all labelled rows.
+    Good labelled texts that pass the base rule are the holdout.  Texts without a stratum form one of their own.  With no
+    labels nothing but the base rule rejects.  Counts go to a table in the shared folder; the holdout is counted by
+    stratum, rule and step, and cutoffs are chosen, in Spark, so there may be any number of strata.
     """
     stats = written(measure(documents, id_col=id_col, text_col=text_col, keep=(stratum_col,)), "quality").withColumn("stratum", F.coalesce(F.col(stratum_col).cast("string"), F.lit("")))
     good = labels.filter(F.col(label_col) == 1).select(F.col(id_col)).distinct()
     held = stats.filter(f"not ({BASE_FAILED})").join(good, id_col, "left_semi")
     per_rule = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), step_of(r).alias("step")) for r in RULES]))
-    table = held.select("stratum", per_rule.alias("x")).groupBy("stratum", "x.rule", "x.step").count()
-    large = [r["stratum"] for r in held.groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(MAX_STRATA).collect()]
-    name = F.when(F.col("stratum").isin(large), F.col("stratum")).otherwise(F.lit("\0rest"))
-    counts: dict[str, dict[str, dict[int, int]]] = {}
-    for r in table.withColumn("stratum", name).groupBy("stratum", "rule", "step").agg(F.sum("count").alias("n")).collect():
-        counts.setdefault(r["stratum"], {}).setdefault(r["rule"], {})[r["step"]] = r["n"]
-    chosen = cutoffs(counts, risk, confidence)
-    beyond = []
-    for rule in RULES:
-        limits = [x for s, rules in chosen.items() if rule in rules for x in (F.lit(s), F.lit(rules[rule]))]
-        limit = F.element_at(F.create_map(*limits), name) if limits else F.lit(None).cast("int")
-        beyond.append(F.when(step_of(rule) >= limit, F.lit(rule)))
+    table = written(held.select("stratum", per_rule.alias("x")).groupBy("stratum", "x.rule", "x.step").agg(F.count("*").alias("n")), "holdout")
+    strata = table.select("stratum").distinct().count()
+    sure = 1 - (1 - confidence) / max(1, strata * len(RULES))
+
+    def choose(own: pd.DataFrame) -> pd.DataFrame:
+        """At most STEPS + 1 rows of one stratum and rule."""
+        found = cutoff(dict(zip(own["step"].tolist(), own["n"].tolist(), strict=True)), risk / len(RULES), sure)
+        return pd.DataFrame({"stratum": own["stratum"].iloc[:1], "rule": own["rule"].iloc[:1], "cutoff": pd.array([found], "Int32")})
+
+    prepare(documents.sparkSession)
+    chosen = written(table.groupBy("stratum", "rule").applyInPandas(choose, "stratum string, rule string, cutoff int"), "cutoffs")
+    limits = chosen.groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff"))
+    stats = stats.join(limits, "stratum", "left")
+    beyond = [F.when(step_of(rule) >= F.col(rule), F.lit(rule)) for rule in RULES]
     out = stats.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("rejected_by", F.array_compact(F.array(*beyond)))
     return out.select(id_col, *STATS, "base_failed", "rejected_by", (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"))
 
