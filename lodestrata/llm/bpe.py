@@ -17,28 +17,36 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Callable
+from itertools import chain
 
-import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import map_slices, texts
 
-#: Longest byte string that is encoded without being halved.
-LEAF_BYTES = 64
+#: Longest byte string that is encoded without being halved; results do not depend on it.
+LEAF_BYTES = 4
+#: Ids that are decoded without being halved.
+LEAF_IDS = 1 << 12
 #: Code points of text that are matched at once.
 LEAF_CHARS = 1 << 14
+#: Bytes of a rank file that are sent to workers at most.
+MAX_RANKS = 1 << 26
 #: Pieces whose encodings a worker remembers; it forgets them all beyond this number.
 REMEMBERED = 200_000
 
 OUTPUTS = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "ids": "array<int>", "decoded": "string"}
 
 
+def read_ranks(data: bytes) -> dict[bytes, int]:
+    """Ranks by token from the content of a .tiktoken file."""
+    return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line.strip())}
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
-    """Ranks by token from a .tiktoken file."""
-    with open(path, "rb") as lines:
-        return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
+    with open(path, "rb") as file:
+        return read_ranks(file.read())
 
 
 class Codec:
@@ -48,7 +56,8 @@ class Codec:
         self.ranks, self.tokens = ranks, {v: k for k, v in ranks.items()}
         self.match = regex.compile(pattern).findall
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.known: dict[str, list[int]] = {}
+        self.joins = 0
 
     def leaf(self, data: bytes) -> list[int]:
         """The encoding of one string by merging the pair of lowest rank, leftmost first, until none is left."""
@@ -89,6 +98,7 @@ class Codec:
 
     def join(self, a: list[int], b: list[int]) -> list[int]:
         """The encoding of two strings put together, from their encodings."""
+        self.joins += 1
         if not a or not b or self.stable(a[-1], b[0]):
             return a + b
         left = right = 1
@@ -109,6 +119,10 @@ class Codec:
         return self.join(self.piece(data[:middle]), self.piece(data[middle:]))
 
     def decode(self, ids: list[int]) -> bytes:
+        """Bytes of the ids, concatenated up the tree of their halves."""
+        if len(ids) > LEAF_IDS:
+            middle = len(ids) // 2
+            return self.decode(ids[:middle]) + self.decode(ids[middle:])
         return b"".join([self.tokens[i] for i in ids])
 
     def matches(self, text: str, start: int = 0, end: int | None = None) -> list[str]:
@@ -118,20 +132,21 @@ class Codec:
             return self.matches(text, start, at) + self.matches(text, at, end)
         return self.match(text[start:end])
 
-    def element(self, piece: str) -> tuple[int, str, bytes]:
-        """Count, ids as text and decoded bytes of a piece."""
+    def element(self, piece: str) -> list[int]:
+        """The encoding of a match, remembered where it is short."""
         got = self.known.get(piece)
         if got is None:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            ids = self.piece(piece.encode())
-            got = len(ids), ",".join(map(str, ids)), self.decode(ids)
+            data = piece.encode()
+            whole = self.ranks.get(data)  # as the library does for a match that is a token
+            got = self.piece(data) if whole is None else [whole]
             if len(piece) < 200:
                 self.known[piece] = got
         return got
 
     def encode(self, text: str) -> list[int]:
-        return [i for x in self.matches(text) for i in self.piece(x.encode())]
+        return list(chain.from_iterable(map(self.element, self.matches(text))))
 
 
 def safe_cut(text: str, start: int, end: int) -> int:
@@ -153,29 +168,35 @@ def encode_decode(documents: DataFrame, rank_file: str, pattern: str, *, id_col:
     """Encode every text, decode the ids again, and return the id column, the columns to keep and the asked ``outputs``: ids, decoded,
     n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256.
 
-    ``rank_file`` must be readable on every machine.  Null and empty texts have no ids and decode to the empty text.
+    ``rank_file`` is read by the driver and sent to the workers once (at most MAX_RANKS bytes).  The decoded text comes from
+    the ids alone.  Null and empty texts have no ids and decode to the empty text.
     No shuffle; a worker holds one slice of texts and a bounded table of remembered pieces.
     """
     codec: list[Codec] = []
     wants = set(outputs)
+    decodes = not wants.isdisjoint({"decoded", "decoded_sha256"})
+    with open(rank_file, "rb") as file:
+        content = file.read(MAX_RANKS + 1)
+    if len(content) > MAX_RANKS:
+        raise ValueError(f"{rank_file} has over {MAX_RANKS} bytes")
+    sent = documents.sparkSession.sparkContext.broadcast(content)
 
     def work(part):
         if not codec:
-            codec.append(Codec(load_ranks(rank_file), pattern))
+            codec.append(Codec(read_ranks(sent.value), pattern))
         one = codec[0]
         got: dict[str, list] = {k: [] for k in outputs}
         for text in part.column("text").to_pylist():
-            found = [one.element(x) for x in one.matches(text)]
-            ids = ",".join([x[1] for x in found])
-            data = b"".join([x[2] for x in found])
+            ids = one.encode(text)
+            data = one.decode(ids) if decodes else b""
             if "n_tokens" in wants:
-                got["n_tokens"].append(sum([x[0] for x in found]))
+                got["n_tokens"].append(len(ids))
             if "ids_sha256" in wants:
-                got["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
+                got["ids_sha256"].append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
             if "decoded_sha256" in wants:
                 got["decoded_sha256"].append(hashlib.sha256(data).hexdigest())
             if "ids" in wants:
-                got["ids"].append(np.fromstring(ids, np.int32, sep=",") if ids else [])
+                got["ids"].append(ids)
             if "decoded" in wants:
                 got["decoded"].append(data.decode())
         return {k: part.column(k) for k in part.schema.names} | got

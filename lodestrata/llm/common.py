@@ -106,6 +106,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         where = spark.conf.get("spark.checkpoint.dir", None)
         if where is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
             import tempfile
 
             where = "file://" + tempfile.mkdtemp(prefix="shared-")
