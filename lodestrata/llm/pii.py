@@ -1,8 +1,9 @@
 """Personal data by weak supervision.
 
 Fixed patterns give the base spans.  Further candidate spans (national ids, bank accounts, local phone numbers, names
-after a form of address, hardware addresses) are judged by labelers that vote for, against or not at all: a checksum or
-shape labeler, a gazetteer labeler and two context labelers.  The votes of all documents are counted by pattern in Spark;
+after a form of address, hardware addresses) are judged by labelers that vote for, against or not at all: a regex labeler
+of strict spellings, a checksum or shape labeler, a gazetteer labeler and two context labelers, which look at the words of
+the sentence or line before the candidate.  The votes of all documents are counted by pattern in Spark;
 from these counts expectation-maximisation estimates how reliable each labeler is, without labels.  The posteriors then
 train the final span classifier, a logistic regression over the features of a candidate, which decides on every span.
 """
@@ -17,9 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import map_slices, texts, written
-from lodestrata.llm.spans import SPANS, digest_columns, in_order, outside, redacted
+from lodestrata.llm.spans import SPANS, Covered, digest_columns, in_order, redacted
 
 BASE = ["email", "ip", "card", "phone"]
+LABELERS = 5
 CANDIDATES = ["national", "account", "local_phone", "person", "hardware"]
 KINDS = [*BASE, *CANDIDATES]
 
@@ -40,17 +42,26 @@ _PERSON = re.compile(r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Mme|Herr|Frau|Sra?)\.?\
 
 #: Words that stand before personal data of a kind, and words that stand before other numbers.
 CONTEXT = {
-    "national": {"ssn", "social", "security", "insurance", "nino", "national", "id", "identity"},
+    "national": {"ssn", "social", "security", "insurance", "nino", "national", "identity"},
     "account": {"iban", "account", "konto", "cuenta", "compte", "bank", "transfer"},
     "local_phone": {"phone", "tel", "telephone", "call", "fax", "mobile", "cell", "telefon", "contact", "dial"},
-    "person": {"contact", "name", "patient", "dear", "signed", "author", "from", "to", "attn"},
+    "person": {"contact", "name", "patient", "dear", "signed", "author", "attn"},
     "hardware": {"mac", "address", "device", "ethernet", "bluetooth", "wifi", "hardware"},
 }
 OTHER_NUMBERS = {"isbn", "issn", "doi", "version", "part", "order", "invoice", "model", "serial", "figure", "table", "page", "ref", "sku", "item", "no"}
 #: Frequent given names.
-GIVEN_NAMES = {"james", "mary", "john", "patricia", "robert", "jennifer", "michael", "linda", "david", "elizabeth", "william", "barbara", "maria", "anna", "hans", "peter", "jean", "marie", "jose", "carmen", "ana", "luis", "paul", "claire", "thomas", "sarah"}
-_WORD = re.compile(r"[A-Za-z]+")
-WINDOW = 40
+GIVEN_NAMES = {"alejandro", "alice", "amelie", "andrea", "andreas", "antonio", "camille", "carlos", "charles", "charlotte", "chloe", "christian", "daniel", "diego", "elena", "emily", "emma", "felix", "francisco", "george", "greta", "heike", "helen", "ingrid", "isabel", "javier", "joseph", "juan", "julia", "julie", "jürgen", "karl", "karen", "katharina", "klaus", "laura", "lena", "louis", "lucas", "lucia", "margaret", "mark", "martin", "miguel", "monika", "nancy", "nicolas", "olivier", "pablo", "pierre", "pilar", "richard", "rosa", "sabine", "sofia", "sophie", "stefan", "steven", "susan", "ursula", "uwe", "wolfgang", "james", "mary", "john", "patricia", "robert", "jennifer", "michael", "linda", "david", "elizabeth", "william", "barbara", "maria", "anna", "hans", "peter", "jean", "marie", "jose", "carmen", "ana", "luis", "paul", "claire", "thomas", "sarah"}
+_WORD = re.compile(r"[^\W\d_]+")
+#: What ends a sentence or line.
+_BREAK = re.compile(r"[.!?]\s|\n")
+#: Strict spellings of each kind: values that look like this are rarely anything else.
+STRICT = {
+    "national": re.compile(r"[1-8][0-9]{2}-[0-9]{2}-[0-9]{4}"),
+    "account": re.compile(r"(?:AD|AT|BE|CH|CZ|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)[0-9]{2}.+"),
+    "local_phone": re.compile(r"\([2-9][0-9]{2}\)\x20[2-9][0-9]{2}[.-][0-9]{4}|[2-9][0-9]{2}([.-])[2-9][0-9]{2}\1[0-9]{4}"),
+    "person": re.compile(r"[A-Z][a-z]+\x20[A-Z][a-z]+"),
+    "hardware": re.compile(r"[0-9A-F]{2}([:-])[0-9A-F]{2}(?:\1[0-9A-F]{2}){4}|[0-9a-f]{2}([:-])[0-9a-f]{2}(?:\2[0-9a-f]{2}){4}"),
+}
 
 
 def luhn(digits: str) -> bool:
@@ -106,23 +117,31 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
             found += [(kind, *m.span()) for m in pattern.finditer(text)]
     if ":" in text or "-" in text:
         found += [("hardware", *m.span()) for m in _HARDWARE.finditer(text)]
-    for kind, start, end in found:
-        if not outside(start, end, base):
+    covered = Covered(base)
+    words, last, seen, at = set(), [], 0, 0  # of the sentence, up to ``seen``
+    breaks = [m.end() for m in _BREAK.finditer(text)] if found else []
+    for kind, start, end in sorted(found, key=lambda s: s[1]):
+        if not covered.outside(start, end):
             continue
-        before = [w.lower() for w in _WORD.findall(text[max(0, start - WINDOW) : start])][-4:]
+        while at < len(breaks) and breaks[at] <= start:
+            words, last, seen, at = set(), [], max(seen, breaks[at]), at + 1
+        more = [w.lower() for w in _WORD.findall(text[seen:start])]
+        words.update(more)
+        last, seen = (last + more)[-2:], max(seen, start)
         value = text[start:end]
         shape = shape_vote(kind, value)
         gazetteer = 1 if any(w.lower() in GIVEN_NAMES for w in _WORD.findall(value)) else 0
-        near = 1 if any(w in CONTEXT[kind] for w in before) else 0
-        other = -1 if any(w in OTHER_NUMBERS for w in before[-2:]) else 0
-        out.append((kind, start, end, encode(CANDIDATES.index(kind), shape, gazetteer, near, other, min(3, len(value) // 8))))
+        near = 0 if words.isdisjoint(CONTEXT[kind]) else 1
+        other = -1 if any(w in OTHER_NUMBERS for w in last) else 0
+        strict = 1 if STRICT[kind].fullmatch(value) else 0
+        out.append((kind, start, end, encode(CANDIDATES.index(kind), strict, shape, gazetteer, near, other, min(3, len(value) // 8))))
     return out
 
 
-def encode(kind: int, shape: int, gazetteer: int, near: int, other: int, size: int) -> int:
-    """One number for the features of a candidate: under 5 * 3^4 * 4, so there are at most 1,620 patterns."""
+def encode(kind: int, strict: int, shape: int, gazetteer: int, near: int, other: int, size: int) -> int:
+    """One number for the features of a candidate: under 5 * 3^5 * 4, so there are at most 4,860 patterns."""
     code = kind
-    for v in (shape, gazetteer, near, other):
+    for v in (strict, shape, gazetteer, near, other):
         code = code * 3 + v + 1
     return code * 4 + size
 
@@ -130,7 +149,7 @@ def encode(kind: int, shape: int, gazetteer: int, near: int, other: int, size: i
 def decode(code: int) -> tuple[int, list[int], int]:
     code, size = divmod(code, 4)
     votes = []
-    for _ in range(4):
+    for _ in range(LABELERS):
         code, v = divmod(code, 3)
         votes.append(v - 1)
     return code, votes[::-1], size
@@ -154,7 +173,7 @@ def reliabilities(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> t
 
 
 def features(kind: int, votes: list[int], size: int) -> np.ndarray:
-    x = np.zeros(1 + len(CANDIDATES) + 8 + 4)
+    x = np.zeros(1 + len(CANDIDATES) + 2 * LABELERS + 4)
     x[0] = x[1 + kind] = 1
     for k, v in enumerate(votes):
         if v:
@@ -170,7 +189,7 @@ def train(patterns: list[tuple[int, int]]) -> dict[int, float]:
     codes, counts = [c for c, _ in patterns], np.array([n for _, n in patterns], float)
     parts = [decode(c) for c in codes]
     posterior, _, _ = reliabilities(np.array([v for _, v, _ in parts], float), counts)
-    x, weight = np.array([features(*p) for p in parts]), np.zeros(len(features(0, [0] * 4, 0)))
+    x, weight = np.array([features(*p) for p in parts]), np.zeros(len(features(0, [0] * LABELERS, 0)))
     for _ in range(30):
         chance = 1 / (1 + np.exp(-np.clip(x @ weight, -30, 30)))
         slope = x.T @ (counts * (chance - posterior)) + weight
@@ -183,7 +202,7 @@ def find_pii(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """id and ``spans`` (kind, start, end; code points, end exclusive; by start, then kind as in KINDS) of every text.
 
     Texts are scanned once; spans and candidates go to a table in the shared folder, from which the vote patterns (at
-    most 1,620) are counted and every candidate is classified.  Null and empty texts, and an empty table, have no spans.
+    most 4,860) are counted and every candidate is classified.  Null and empty texts, and an empty table, have no spans.
     """
 
     def work(part):
@@ -212,8 +231,9 @@ def redact(text: str | None, spans: list) -> str | None:
 
 
 def query_columns(documents: DataFrame) -> DataFrame:
-    """doc_id, counts and digest of the base spans, and all spans as text."""
-    return digest_columns(find_pii(documents), "doc_id", BASE)
+    """doc_id, counts and digest of the base spans, all spans as text, and how many there are."""
+    found = find_pii(documents)
+    return digest_columns(found, "doc_id", BASE, F.size("spans").cast("long").alias("n_spans"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

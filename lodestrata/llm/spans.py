@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,13 +19,14 @@ def of_kinds(spans: Column, kinds: list[str]) -> Column:
     return F.filter(spans, lambda s: s["kind"].isin(kinds))
 
 
-def digest_columns(found: DataFrame, id_col: str, base: list[str]) -> DataFrame:
-    """id, n_<kind> of every base kind, base_sha256 and spans."""
+def digest_columns(found: DataFrame, id_col: str, base: list[str], *more: Column) -> DataFrame:
+    """id, n_<kind> of every base kind, base_sha256, spans and further columns."""
     return found.select(
         id_col,
         *(F.size(of_kinds(F.col("spans"), [k])).cast("long").alias(f"n_{k}") for k in base),
         F.sha2(joined(of_kinds(F.col("spans"), base)), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
+        *more,
     )
 
 
@@ -32,9 +35,23 @@ def in_order(spans: list[tuple[str, int, int]], kinds: list[str]) -> list[dict]:
     return [{"kind": k, "start": a, "end": b} for k, a, b in sorted(spans, key=lambda s: (s[1], rank[s[0]], s[2]))]
 
 
-def outside(start: int, end: int, spans: list[tuple[str, int, int]]) -> bool:
-    """Whether [start, end) overlaps none of the spans."""
-    return all(end <= a or start >= b for _, a, b in spans)
+class Covered:
+    """Stretches that spans cover, for tests by binary search."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end in sorted((a, b) for _, a, b in spans):
+            if self.ends and start <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def outside(self, start: int, end: int) -> bool:
+        """Whether [start, end) overlaps none of the spans."""
+        i = bisect_left(self.starts, end)
+        return i == 0 or self.ends[i - 1] <= start
 
 
 def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
