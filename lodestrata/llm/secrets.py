@@ -1,8 +1,9 @@
 """Secret scans by assignment-aware lexing.
 
 Three fixed patterns give the base spans.  On top of them a small lexer reads source and configuration syntax (``name =
-"literal"``, ``name: literal``, ``"name": "literal"``, ``name := a + "b"``) into name-literal pairs.  It keeps the
-constants seen so far in a text and propagates them through later assignments and concatenations, so a literal that
+"literal"``, ``name: literal``, ``"name": "literal"``, ``name := a + "b"``, ``name += literal``, triple quotes, here
+documents, indented blocks after ``name: |``, ``<name>literal</name>``, and armoured private keys) into name-literal pairs.
+It keeps the constants seen so far in a text and propagates them through later assignments and concatenations, so a literal that
 reaches a sensitive name by way of a harmless one is found where it is written.  A literal is scored by the words of the
 names that it reaches and by its own looks, and those of at least ``threshold`` become spans of kind ``literal``.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable
 
@@ -40,7 +42,13 @@ PLACEHOLDERS = re.compile(r"(?i)changeme|example|placeholder|your|dummy|redacted
 #: A literal of more characters is no placeholder: nobody types one so long, and base64 has "none" or "your" in it by chance.
 LONGEST_PLACEHOLDER = 4096
 
-_PAIR = re.compile(r"""(?<![A-Za-z0-9_.-])([A-Za-z_][A-Za-z0-9_.-]*+)["']?[\x20\t]*(?::=|=>|=(?!=)|:(?!:|//))[\x20\t]*""")
+_PAIR = re.compile(r"""(?<![A-Za-z0-9_.-])([A-Za-z_][A-Za-z0-9_.-]*+)["']?[\x20\t]*(:=|=>|\+=|=(?!=)|:(?!:|//))[\x20\t]*""")
+_TRIPLE = re.compile(r"""[A-Za-z]{0,2}(\"{3}|'{3})""")
+_HERE = re.compile(r"""<<[-~]?[\x20\t]*(["']?)([A-Za-z_][A-Za-z0-9_]*)\1[^\n]*\n""")
+_BLOCK = re.compile(r"[|>][+-]?[0-9]?[+-]?[\x20\t]*\r?\n")
+_LINE = re.compile(r"([\x20\t]*)([^\n]*?)[\x20\t\r]*(?:\n|\Z)")
+_ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.-]*)>[\x20\t]*([^<>\s]+)[\x20\t]*</\1>")
+_ARMOUR = re.compile(r"-----BEGIN [A-Z\x20]*PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END [A-Z\x20]*PRIVATE KEY-----")
 _QUOTED = re.compile(r""""((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'""")
 _RUN = re.compile(r"[A-Za-z0-9+/_=.-]+")
 _SPACE = re.compile(r"[\x20\t]*")
@@ -136,6 +144,47 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", *m.span()) for m in _HEX.finditer(text)]
 
 
+class Blocks:
+    """Literals over several lines.  Ends that were looked for in vain are remembered, so a text is searched once for each."""
+
+    def __init__(self, text: str):
+        self.text, self.vain = text, set()
+
+    def find(self, mark: str, at: int) -> int:
+        end = -1 if mark in self.vain else self.text.find(mark, at)
+        if end < 0:
+            self.vain.add(mark)
+        return end
+
+    def lines(self, start: int, end: int) -> list[tuple[int, int]]:
+        """What stands on each line that is not blank."""
+        out = []
+        while start < end:
+            m = _LINE.match(self.text, start, end)
+            if m[2]:
+                out.append(m.span(2))
+            start = max(m.end(), start + 1)
+        return out
+
+    def read(self, at: int, name: int) -> tuple[list[tuple[int, int]], int] | None:
+        """The lines of a literal that begins at ``at`` after the name at ``name``, and where it ends."""
+        text = self.text
+        if m := _TRIPLE.match(text, at):
+            end = self.find(m[1], m.end())
+            return None if end < 0 else (self.lines(m.end(), end), end + 3)
+        if m := _HERE.match(text, at):
+            end = self.find("\n" + m[2], m.end() - 1)
+            return None if end < 0 else (self.lines(m.end(), end), end + 1 + len(m[2]))
+        if m := _BLOCK.match(text, at):
+            indent = _SPACE.match(text, text.rfind("\n", 0, name) + 1)
+            outer, found, at = len(indent[0]), [], m.end()
+            while at < len(text) and (line := _LINE.match(text, at)) and (len(line[1]) > outer or not line[2]):
+                found += [line.span(2)] if line[2] else []
+                at = max(line.end(), at + 1)
+            return found, at
+        return None
+
+
 def assignments(text: str):
     """Every (name, Value): the literals that make up what the name is given, and constants in it.
 
@@ -143,9 +192,16 @@ def assignments(text: str):
     may be either, the run by itself is one more value of the name.
     """
     constants: dict[str, Value] = {}
+    blocks = Blocks(text)
+    after_block = 0
     for pair in _PAIR.finditer(text):
-        at, found = pair.end(), []
-        while True:
+        if pair.start() < after_block:
+            continue  # within a literal of several lines
+        at, found = pair.end(), [constants[pair[1]]] if pair[2] == "+=" and pair[1] in constants else []
+        if block := blocks.read(at, pair.start()):
+            found += block[0]
+            after_block = block[1]
+        while not block:
             if quoted := _QUOTED.match(text, at):
                 found.append(quoted.span(quoted.lastindex))
                 at = quoted.end()
@@ -177,7 +233,7 @@ def assignments(text: str):
 
 
 def literal_spans(text: str, base: list[tuple[str, int, int]], threshold: float) -> list[tuple[str, int, int]]:
-    if "=" not in text and ":" not in text:
+    if "=" not in text and ":" not in text and "</" not in text and "PRIVATE KEY" not in text:
         return []
     found: set[tuple[int, int]] = set()
     last: list = []
@@ -185,7 +241,17 @@ def literal_spans(text: str, base: list[tuple[str, int, int]], threshold: float)
         score = name_score(name)
         if score and not value.taken and score * _score(_counted(text, value, last), lambda value=value: _spelled(text, value)) >= threshold:
             _take(value, found)
-    return [("literal", a, b) for a, b in sorted(found) if not any(c <= a and b <= d for _, c, d in base)]
+    for m in _ELEMENT.finditer(text) if "</" in text else ():
+        if name_score(m[1]) * literal_score(m[2]) >= threshold:
+            found.add(m.span(2))
+    for m in _ARMOUR.finditer(text) if "PRIVATE KEY" in text else ():
+        found.update(Blocks(text).lines(*m.span(1)))
+    starts, reach = [], []  # of the base spans, and how far those up to each go
+    for start, end in sorted((a, b) for _, a, b in base):
+        starts.append(start)
+        reach.append(max(end, reach[-1] if reach else 0))
+    within = lambda a, b: (i := bisect_right(starts, a)) > 0 and reach[i - 1] >= b
+    return [("literal", a, b) for a, b in sorted(found) if not within(a, b)]
 
 
 def all_spans(text: str, threshold: float) -> list[tuple[str, int, int]]:
