@@ -2,8 +2,8 @@
 
 A logistic regression over the presence of words and word prefixes.  Sentences of the labelled texts that name a group of
 people give counterfactual pairs: the same sentence with another group's name.  The loss has a penalty on the squared
-change of score within such a pair, so a group's name as such can move no score, however it is spread over the labels,
-and neutral mentions are no false positives.
+change of the sentence's score within such a pair, so a group's name as such can move no score, however it is spread over
+the labels, and neutral mentions are no false positives.
 
 Learning takes a bounded sample of labelled rows (``sample_rows``, in the order of a hash of the id); near copies in the
 sample, which share their smallest hash of five words, count once, or the words of a much copied text would look telling.
@@ -24,10 +24,6 @@ from lodestrata.llm.common import filter_texts, gram_hashes, map_slices, texts,
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?\n]+")
 PREFIXES = (3, 4, 5, 6)
-#: Features that the model may have.
-MAX_FEATURES = 4096
-#: What a feature needs: toxic texts of the sample, standard errors above chance, and log odds ratio.
-MIN_TEXTS, MIN_Z, MIN_RATIO = 3, 2.0, 1.5
 
 #: Names of groups of people, by families within which they are swapped.
 IDENTITY = [
@@ -64,14 +60,20 @@ def text_features(text: str) -> set[str]:
 
 
 def swaps(text: str) -> Counter:
-    """How many sentences of the text allow each swap (named group, other group)."""
+    """How many sentences of the text change by a swap in which way: (features that the swapped sentence has more, and
+    that it has no longer).  Features that other words of the sentence have as well do not change."""
     out: Counter = Counter()
     low = text.lower()
     if not _NAMED.search(low):
         return out
     for sentence in _SENTENCE.split(low):
-        for t in set(_WORD.findall(sentence)) & _FAMILY.keys():
-            out.update((t, other) for other in _FAMILY[t])
+        words = set(_WORD.findall(sentence))
+        for t in words & _FAMILY.keys():
+            rest = {f for w in words if w != t for f in word_features(w)}
+            before = rest.union(word_features(t))
+            for other in _FAMILY[t]:
+                after = rest.union(word_features(other))
+                out[" ".join(sorted(after - before)), " ".join(sorted(before - after))] += 1
     return out
 
 
@@ -113,32 +115,36 @@ def fit(rows: list[tuple[int, list[int]]], names: list[str], pairs: dict[tuple[s
     prior = (y.sum() + 0.5) / (n + 1)
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) if n else y
     place = {f: i for i, f in enumerate(names)}
-    rows_of_pairs = []
+    # one sparse row for each way in which a swap changes a sentence: 1 for a feature more, -1 for one less
     total = sum(pairs.values()) or 1
-    for (a, b), count in sorted(pairs.items()):
-        diff = Counter({place[f]: 1 for f in word_features(a) if f in place})
-        diff.subtract({place[f]: 1 for f in word_features(b) if f in place})
-        if diff := {k: v for k, v in diff.items() if v}:
-            rows_of_pairs.append((np.array(list(diff)), np.array(list(diff.values()), float), count / total))
+    entries = [(r, place[f], sign) for r, pair in enumerate(sorted(pairs)) for side, sign in zip(pair, (1.0, -1.0), strict=True) for f in side.split() if f in place]
+    share = np.array([pairs[p] / total for p in sorted(pairs)])
+    pair_row, pair_col, pair_sign = (np.array(x, kind) for x, kind in zip(zip(*entries, strict=True) if entries else ([], [], []), (np.int64, np.int64, float), strict=True))
+    sizes = np.bincount(pair_row, minlength=len(share)) if len(share) else np.zeros(0)
     w, b = np.zeros(m), float(np.log(prior / (1 - prior)))
     v, c, t = w.copy(), b, 1.0
     longest = max([len(f) for _, f in rows], default=0)
-    rate = 1 / (0.25 * (longest + 1) + ridge + fairness * sum([2 * (d @ d) * s for _, d, s in rows_of_pairs]) + 1e-9)
+    rate = 1 / (0.25 * (longest + 1) + ridge + 2 * fairness * float(sizes @ share) + 1e-9)
     for _ in range(steps if n else 0):
         chance = 1 / (1 + np.exp(-np.clip(c + np.bincount(at, v[col], n), -30, 30)))
         error = weight * (chance - y)
         slope = np.bincount(col, error[at], m) + ridge * v
-        for k, d, s in rows_of_pairs:
-            slope[k] += 2 * fairness * s * (v[k] @ d) * d
+        if len(pair_row):
+            change = np.bincount(pair_row, v[pair_col] * pair_sign, len(share))
+            slope += np.bincount(pair_col, (2 * fairness * share * change)[pair_row] * pair_sign, m)
         w_new, b_new, t_new = v - rate * slope, c - rate * error.sum(), (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, c = w_new + (t - 1) / t_new * (w_new - w), b_new + (t - 1) / t_new * (b_new - b)
         w, b, t = w_new, b_new, t_new
     return Model({f: float(x) for f, x in zip(names, w, strict=True) if x}, float(b))
 
 
-def train(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 20_000, ridge: float = 1e-5, fairness: float = 1.0) -> Model:
+def train(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 20_000, max_features: int = 4096, min_texts: int = 3, min_z: float = 2.0, min_ratio: float = 1.5, ridge: float = 1e-5, fairness: float = 1.0) -> Model:
     """Learn from labelled rows that are not held out.
 
+    The model has at most ``max_features`` features beside those of groups' names, the most telling ones; a feature needs
+    ``min_texts`` toxic texts of the sample, stands ``min_z`` standard errors above chance and has a log odds ratio of
+    ``min_ratio``.  All of these bound the model, not the rows that are scored.
+
     Of several labels of one id the highest holds; null ids and labels are passed over.  The sample (at most
     ``sample_rows`` ids, so safe to broadcast) is joined with the documents and written to the shared folder; features are
     counted per task before they are shuffled.  Without labels the model has no features and scores every text alike.
@@ -183,9 +189,9 @@ def train(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
     a, b = F.col("toxic") + 0.5, F.col("n") - F.col("toxic") + 0.5
     ratio = F.log(a / (bad + 1 - a + 0.5)) - F.log(b / F.greatest(F.lit(0.5), good + 1 - b + 0.5))
     spread = F.sqrt(1 / a + 1 / b + 1 / (bad + 1 - a + 0.5) + 1 / F.greatest(F.lit(0.5), good + 1 - b + 0.5))
-    named = sorted({f for p in pairs for t in p for f in word_features(t)})
+    named = sorted({f for p in pairs for side in p for f in side.split()})
     summed = counts.filter("toxic >= 0").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).withColumn("ratio", ratio).withColumn("z", ratio / spread)
-    chosen = [r["feature"] for r in summed.filter(f"toxic >= {MIN_TEXTS} and z > {MIN_Z} and ratio > {MIN_RATIO}").orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).collect()]
+    chosen = [r["feature"] for r in summed.filter(f"toxic >= {min_texts} and z > {min_z} and ratio > {min_ratio}").orderBy(F.desc("z"), "feature").limit(max_features).collect()]
     names = sorted({*chosen, *named})
     place = {f: i for i, f in enumerate(names)}
 

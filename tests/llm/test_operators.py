@@ -7,6 +7,7 @@ import math
 import random
 import re
 import time
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -436,10 +437,29 @@ def test_toxicity_is_counterfactually_fair(spark):
     change = lambda m: abs(m.score("a muslim neighbour") - m.score("a christian neighbour"))
     assert change(plain) > 2 * change(fair) and change(fair) < 0.1
     assert fair.score("muslim people live here") < 0.5 < fair.score("you vilex")
+    usual = toxicity.train(docs, labels)
+    assert change(usual) < 0.5 * change(plain)
+    mentions = [f"my {g} neighbours live here" for g in ("muslim", "jewish", "hindu", "sikh")]
+    rate = lambda m: np.mean([m.score(x) >= 0.5 for x in mentions])
+    assert rate(usual) <= rate(plain) and rate(fair) == 0
     got = toxicity.score(docs, fair).join(labels, "doc_id").filter(toxicity.held_out("doc_id")).collect()
     assert np.mean([(r.score >= 0.7) == r.toxic for r in got]) > 0.95
 
 
+def test_toxicity_swaps_are_of_sentences():
+    """Against a plain version: the features of the swapped sentence less those of the sentence."""
+    text = "The black cat. A man and a woman manage! Black blackboards?"
+    plain = Counter()
+    for sentence in ("the black cat", "a man and a woman manage", "black blackboards"):
+        words = sentence.split()
+        for t in sorted({w for w in words if w in toxicity._FAMILY}):
+            for other in toxicity._FAMILY[t]:
+                swapped = [other if w == t else w for w in words]
+                a, b = toxicity.text_features(" ".join(swapped)), toxicity.text_features(sentence)
+                plain[" ".join(sorted(a - b)), " ".join(sorted(b - a))] += 1
+    assert toxicity.swaps(text) == plain
+
+
 def test_toxicity_odd(spark, odd, none):
     docs, labels = toxic_table(spark, 200)
     model = toxicity.train(docs, labels.union(labels).union(spark.createDataFrame([(None, 1), (5, None)], labels.schema)))
