@@ -1,14 +1,17 @@
-"""A corpus pipeline of five stages over documents; each is written as Parquet and reread as the next one's input."""
+"""A corpus pipeline of five stages over documents; each is written as Parquet and reread as the next one's input.
 
-from __future__ import annotations
+Every stage takes and returns rows, whatever is in them: a null text counts as empty and stays null until the last stage,
+repeated rows are judged alike (copies of one id are no near copies of each other and stay), rows of a null id are never
+taken for a copy, further columns are passed on by all stages but the last, and empty tables give empty tables.
+"""
 
-import uuid
+from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.llm import bpe, decontaminate, ngram_join, secrets, toxicity
-from lodestrata.llm.common import shared_dir
+from lodestrata.llm.common import drop, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +50,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}/{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{k}", "snappy")
+        if k:
+            drop(before)
     return docs
