@@ -346,6 +346,7 @@ def near_components(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     rounds, stars = [], []
     for k in range(ROUNDS + 1):
         if k and kept.isEmpty():
+            drop(kept)
             break
         centre = kept.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("d")).alias("d"))).alias("c")).select("bucket", (-F.col("c.d")).alias("a"))
         met = written(kept.join(centre, "bucket").select("bucket", "a", "d", "weight"), "met")
