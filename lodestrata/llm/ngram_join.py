@@ -286,6 +286,11 @@ def possible_pairs(seeking: DataFrame, found: DataFrame, num: int, den: int) ->
     return x.join(y, meet).select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
 
 
+def hung(reach: DataFrame) -> DataFrame:
+    """Known components as links of each class to its component's smallest one."""
+    return reach.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def sieved(entries: DataFrame, traits: DataFrame, *of: str) -> DataFrame:
     """The entries without those of sets that share too few: linked sets differ in H of a band's segments at most, so they
     share more than are spare.  Entries that then stand alone go as well."""
@@ -371,12 +376,11 @@ def near_components(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     each = written(prefixes(tried.join(wanted, ["a", "b"], "left_semi"), reach), "prefixes")
     likely = written(verified(likely_pairs(*both_sides(each, reach)), text, shingle, num, den), "links")
     if not likely.isEmpty():
-        links = links.unionByName(likely)
-        reach = written(components(links), "reach")
+        reach = written(components(hung(reach).unionByName(likely)), "reach")
         reaches.append(reach)
     more = written(verified(possible_pairs(*both_sides(each, reach), num, den), text, shingle, num, den), "links")
     if not more.isEmpty():
-        reach = components(links.unionByName(more))
+        reach = components(hung(reach).unionByName(more))
     named = classes.select("s1", "s2", "n", "d", "copies").join(reach, F.col("d") == F.col("node"), "left").filter("copies > 1 or component is not null").select("s1", "s2", "n", F.coalesce("component", "d").alias("component"))
     joined = own.select("id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
     out = written(joined.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id")), "components")
