@@ -41,17 +41,11 @@ def corner_terms(dx: Column, dy: Column, dz: Column) -> dict[str, Column]:
 def gravity(stations: DataFrame, cells: DataFrame, size: float, components: tuple[str, ...] = ("gz",)) -> DataFrame:
     """(id, components): attraction of prisms (xc, yc, zc, density) of equal size at stations (id, x, y, z)."""
     half = size / 2
-    shifts = F.array(*[F.struct(F.lit(half * a).alias("x"), F.lit(half * b).alias("y"), F.lit(half * c).alias("z"), F.lit(float(a * b * c)).alias("mu")) for a in (-1, 1) for b in (-1, 1) for c in (-1, 1)])
-    pairs = stations.select("id", "x", "y", "z").crossJoin(cells.filter("density <> 0").select("xc", "yc", "zc", "density"))
-    col = F.col
-
-    def over_corners(name: str) -> Column:
-        def one(s: Column) -> Column:
-            return s["mu"] * corner_terms(col("xc") + s["x"] - col("x"), col("yc") + s["y"] - col("y"), col("zc") + s["z"] - col("z"))[name]
-
-        return F.aggregate(F.transform(shifts, one), F.lit(0.0), lambda t, v: t + v) * col("density") * G_MGAL
-
-    return pairs.groupBy("id").agg(*[F.sum(over_corners(c)).alias(c) for c in components])
+    bit = lambda k: (F.floor(F.col("_c") / 2**k) % 2 * 2 - 1).cast("double")
+    corners = stations.sparkSession.range(8).withColumnRenamed("id", "_c").select(*[(bit(k) * half).alias(f"_s{a}") for k, a in enumerate("xyz")], (bit(0) * bit(1) * bit(2)).alias("_mu"))
+    pairs = stations.select("id", "x", "y", "z").crossJoin(cells.filter("density <> 0").select("xc", "yc", "zc", "density")).crossJoin(F.broadcast(corners))
+    terms = corner_terms(*[F.col(f"{a}c") + F.col(f"_s{a}") - F.col(a) for a in "xyz"])
+    return pairs.groupBy("id").agg(*[F.sum(terms[c] * F.col("_mu") * F.col("density") * G_MGAL).alias(c) for c in components])
 
 
 def magnetic(stations: DataFrame, cells: DataFrame, size: float, field: tuple[float, float, float]) -> DataFrame:
