@@ -74,7 +74,7 @@ def test_nearest_equals_brute_force(spark):
     left = [(rng.gauss(0, 1), rng.gauss(0, 1), 0) for _ in range(60)] + [(50, 50, 0)]
     right = [(rng.choice([0, 0.5, 30]) + rng.random() * 0.1, rng.random(), 0) for _ in range(80)]
     for k in (1, 3):
-        got = {(r.id, r["rank"]): (r.nn_id, round(r.d, 9)) for r in joins.nearest(points(spark, left), points(spark, right), k, levels=2, width=0.2).collect()}
+        got = {(r.id, r["rank"]): (r.nn_id, round(r.d, 9)) for r in joins.nearest(points(spark, left), points(spark, right), k, width=0.2).collect()}
         for i, p in enumerate(left):
             order = sorted((math.dist(p, q), j) for j, q in enumerate(right))[:k]
             assert [got[i, n + 1] for n in range(k)] == [(j, round(d, 9)) for d, j in order]
@@ -231,7 +231,7 @@ def test_nearest_without_places_and_far_away(spark):
     left = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 1.0), (3, float("nan"), 1.0), (4, 1e7, -1e7)], "id long, x double, y double")
     right = spark.createDataFrame([(10, 0.0, 1.0), (11, 5.0, 5.0), (12, None, 0.0)], "id long, x double, y double")
     got = {(r.id, r["rank"]): r.nn_id for r in joins.nearest(left, right, 3, ("x", "y")).collect()}
-    assert got == {(1, 1): 10, (1, 2): 11, (4, 1): 10, (4, 2): 11}
+    assert got == {(1, 1): 10, (1, 2): 11, (4, 1): 11, (4, 2): 10}
     assert joins.nearest(left, right.limit(0), 1, ("x", "y")).count() == 0
 
 
