@@ -41,3 +41,16 @@ def test_stages_keep_columns_and_odd_rows(spark):
             assert now.columns == docs.columns, name
             assert now.count() == table.count(), name
         assert corpus_pipeline.STAGES[-1][1](spark, now, DATA).count() == table.count()
+
+
+def test_stages_with_repeated_rows_ties_and_clashing_names(spark):
+    """Rows of one id, equal texts of other ids, null ids, and columns named like the stages' own."""
+    plain = " ".join(f"word{k}" for k in range(40))
+    rows = [(5, plain), (5, plain), (6, plain), (7, plain + " more"), (None, plain), (None, None), (8, "apart " * 3)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, 1, 0.5, 9, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, id int, score double, component_id int, spans string")
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, DATA)
+        assert now.columns == docs.columns
+    assert sorted([r.doc_id or 0 for r in now.collect()]) == [0, 0, 5, 5, 8]
+    assert corpus_pipeline.STAGES[-1][1](spark, now, DATA).count() == 5
