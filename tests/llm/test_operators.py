@@ -53,7 +53,7 @@ def test_bpe_joins_ordinary_words(codec):
     """Words that are no token go through the tree: their halves are joined at proved seams."""
     own, library = bpe.Codec(codec[0].ranks, public_tokenizers.PATTERN), codec[1]
     text = "Ordinary misunderstandings notwithstanding, Donaudampfschifffahrtsgesellschaft unquestionably overcomplicates bookkeeping."
-    assert own.encode(text) == library.encode_ordinary(text) and own.joins > 20
+    assert own.encode(text) == library.encode_ordinary(text) and own.joins > 10
     assert own.decode(own.encode(text * 2000)).decode() == text * 2000  # more ids than a leaf of the decoder
 
 
@@ -81,7 +81,7 @@ def test_pii_is_linear():
 def test_bpe_is_tiktoken(codec, monkeypatch):
     own, library = codec
     rng = random.Random(1)
-    for leaf_bytes, leaf_chars in ((64, 1 << 14), (4, 1 << 14), (2, 40)):
+    for leaf_bytes, leaf_chars in ((64, 1 << 14), (8, 1 << 14), (4, 1 << 14), (2, 40)):
         monkeypatch.setattr(bpe, "LEAF_BYTES", leaf_bytes)
         monkeypatch.setattr(bpe, "LEAF_CHARS", leaf_chars)
         for _ in range(150):
