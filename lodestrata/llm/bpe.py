@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import map_slices, texts
 
 #: Longest byte string that is encoded without being halved; results do not depend on it.
-LEAF_BYTES = 8
+LEAF_BYTES = 16
 #: Ids that are decoded without being halved.
 LEAF_IDS = 1 << 12
 #: Code points of text that are matched at once.
