@@ -22,9 +22,10 @@ def smoothed(df: DataFrame, columns: list[str], width: int = 2, line: str = "lin
     return df.withColumns({c: F.when(end, F.col(c)).otherwise(F.avg(c).over(near)) for c in columns})
 
 
-def cell_widths(df: DataFrame, group: str, order: str, centre: str) -> DataFrame:
-    """Widths of columns from their centres: half the way to both neighbours, the nearest one twice at the ends."""
-    w = Window.partitionBy(group).orderBy(order)
+def cell_widths(df: DataFrame, group: str, order: str, centre: str, tie: str = "id") -> DataFrame:
+    """Widths of columns from their centres: half the way to both neighbours, the nearest one twice at the ends.  Columns
+    at one place follow each other by ``tie``, so that the widths do not depend on how the rows are dealt."""
+    w = Window.partitionBy(group).orderBy(order, tie)
     before, after = F.col(centre) - F.lag(centre).over(w), F.lead(centre).over(w) - F.col(centre)
     return df.withColumn("width", (F.coalesce(before, after) + F.coalesce(after, before)) / 2)
 

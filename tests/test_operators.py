@@ -250,3 +250,18 @@ def test_split_evenly():
     from lodestrata.operators import survey
 
     assert survey.split_evenly([5, 5, 5], 4) == [2, 1, 1] and survey.split_evenly([1, 1], 4) == [1, 1] and survey.split_evenly([], 3) == []
+
+
+def test_cell_widths_of_columns_at_one_place(spark):
+    """Ties go by id, whatever the order of the rows; with that order written out, the SQL gives the same."""
+    import duckdb
+
+    from lodestrata.plans.catalog import ORACLE_SQL
+
+    places = [(i, i % 2, float(7 * i % 40 // 4)) for i in range(80)]
+    tables = [spark.createDataFrame(rows, "id long, line_id int, x double").coalesce(1) for rows in (places, places[::-1])]
+    got = [{r.id: round(r.width, 6) for r in windows.cell_widths(t, "line_id", "x", "x").collect()} for t in tables]
+    con = duckdb.connect()
+    con.execute("create table embeddings (vec_id bigint, label int, embedding double[])")
+    con.executemany("insert into embeddings values (?, ?, ?)", [(i, line, [x / 1000, 0.0, 0.0]) for i, line, x in places])
+    assert got[0] == got[1] == dict(con.execute(ORACLE_SQL["w03_cell_widths"].replace("ORDER BY x)", "ORDER BY x, id)")).fetchall())
