@@ -8,7 +8,7 @@ empty text, null ids pass through, repeated rows are treated as separate rows.
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -122,12 +122,12 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
 
 
 def _saved(df: DataFrame, path: str, compression: str) -> None:
-    """Write a table; the shuffle files of its plan are removed when it is there."""
+    """Write a table, or add rows to it; the shuffle files of the plan are removed when they are there."""
     spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, None)
     try:
         spark.conf.set(key, "true")
-        df.write.option("compression", compression).parquet(path)
+        df.write.mode("append").option("compression", compression).parquet(path)
     finally:
         if before is None:
             spark.conf.unset(key)
@@ -137,12 +137,20 @@ def _saved(df: DataFrame, path: str, compression: str) -> None:
 
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """A Parquet table in the shared folder, reread; ``drop`` deletes it."""
+    return written_in_parts([df], name, compression)
+
+
+def written_in_parts(parts: Iterable[DataFrame], name: str, compression: str = "zstd") -> DataFrame:
+    """One such table of all rows of the parts, written one after another: just one part's shuffle files are there at a
+    time.  Parts may be made when they are asked for."""
     import uuid
 
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _saved(df, path, compression)
-    out = spark.read.schema(df.schema).parquet(path)
+    path = None
+    for df in parts:
+        spark, schema = df.sparkSession, df.schema
+        path = path or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        _saved(df, path, compression)
+    out = spark.read.schema(schema).parquet(path)
     out.table_path = path
     return out
 

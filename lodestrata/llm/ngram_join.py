@@ -27,14 +27,14 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import gram_hashes, drop, map_slices, mix, prepare, slices, texts, word_hashes, written
+from lodestrata.llm.common import gram_hashes, drop, map_slices, mix, prepare, slices, texts, word_hashes, written, written_in_parts
 from lodestrata.llm.components import components
 
 #: Sets above which an entry counts as costly.
@@ -47,6 +47,10 @@ BLOCK = 256
 ROUNDS = 1
 #: How often sets that share too few entries, and entries that then stand alone, are sieved out.
 SIEVES = 2
+#: Parts of the buckets, and of the centres, that are dealt one after another, so that the disk holds one part's shuffle.
+PARTS = 4
+#: Bits of a hash that a bucket's name leaves out.  Buckets that share a name make candidates, which are compared.
+SHORT = np.uint64(16)
 _SEGMENT, _VALUE, _FIRST, _SECOND = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
 
@@ -129,12 +133,12 @@ def entries(own: np.ndarray, bands: Bands) -> tuple[np.ndarray, int, bool]:
         tag = mix((np.arange(m, dtype=np.uint64) + np.uint64(band << 40)) * _FIRST)
         empty = m - len(full)
         slack.append(max(0, spare - empty))
-        out.append(mix(sums ^ tag)[full if empty <= spare else slice(None)] & ~np.uint64(1))
+        out.append(mix(sums ^ tag)[full if empty <= spare else slice(None)] >> SHORT & ~np.uint64(1))
         deleted = values[ordered == 0]
         stands_in &= len(deleted) > 1
         if len(deleted):
             left = np.concatenate([sums[:1], sums[0] - deleted if len(deleted) > 1 else deleted[:0]])
-            out.append(mix(left ^ tag[0]) | np.uint64(1))
+            out.append(mix(left ^ tag[0]) >> SHORT | np.uint64(1))
     return (np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)), min(slack, default=0), stands_in
 
 
@@ -309,31 +313,42 @@ def near_components(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     """
     bands = Bands(num, den)
     docs = texts(documents, id_col, text_col).withColumn("id", F.col("id").cast("long"))
+    dealt = [f"entries_{k}" for k in range(PARTS)]
 
     def sets(part):
-        out: dict[str, list] = {k: [] for k in ("n", "s1", "s2", "entries", "slack", "stands_in")}
+        out: dict[str, list] = {k: [] for k in ("n", "s1", "s2", "slack", "stands_in", *dealt)}
         for own in shingle_sets(part.column("text"), shingle):
             out["n"].append(len(own))
             out["s1"].append(int(mix(own * _FIRST).sum(dtype=np.uint64).astype(np.int64)))
             out["s2"].append(int(mix(own ^ _SECOND).sum(dtype=np.uint64).astype(np.int64)))
             found, slack, stands_in = entries(own, bands)
-            out["entries"].append(found)
+            part_of = found >> 1 & PARTS - 1
+            for k, name in enumerate(dealt):
+                out[name].append(found[part_of == k])
             out["slack"].append(slack)
             out["stands_in"].append(stands_in)
         return {"id": part.column("id")} | out
 
-    own = written(map_slices(docs, sets, "id long, n int, s1 long, s2 long, entries array<long>, slack int, stands_in boolean"), "sets")
+    indexed = written(map_slices(docs, sets, f"id long, n int, s1 long, s2 long, slack int, stands_in boolean, {', '.join(f'{x} array<long>' for x in dealt)}"), "indexed")
+    own = written(indexed.select("id", "n", "s1", "s2"), "sets")
     classes = own.filter("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("d"), F.count("*").alias("copies"))
     classes = written(classes, "classes")
-    found = own.filter("id is not null").select(F.col("id").alias("d"), F.explode("entries").alias("bucket"))
-    counts = written(found.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "counts")
     # copies have the entries of their class, which its first document keeps
     later = own.select("id", "s1", "s2", "n").join(classes.filter("copies > 1"), ["s1", "s2", "n"]).filter("id > d").select(F.col("id").alias("d"))
-    shared = written(found.join(counts, "bucket").join(later, "d", "left_anti"), "entries")
-    drop(counts)
+    later = written(later, "later")
+
+    def shared_entries() -> Iterator[DataFrame]:
+        for name in dealt:
+            found = indexed.filter("id is not null").select(F.col("id").alias("d"), F.explode(name).alias("bucket"))
+            counts = written(found.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "counts")
+            yield found.join(counts, "bucket").join(later, "d", "left_anti")
+            drop(counts)
+
+    shared = written_in_parts(shared_entries(), "entries")
     even = F.pmod("bucket", F.lit(2)) == 0
-    traits = own.filter("id is not null and size(entries) > 0").select(F.col("id").alias("d"), "slack", "stands_in")
+    traits = indexed.filter("id is not null and (" + " or ".join(f"size({x}) > 0" for x in dealt) + ")").select(F.col("id").alias("d"), "slack", "stands_in")
     traits = written(traits.groupBy("d").agg(F.min("slack").alias("slack"), F.min("stands_in").alias("stands_in")), "traits")
+    drop(indexed, later)
     for _ in range(SIEVES):
         before, shared = shared, written(sieved(shared, traits), "entries")
         drop(before)
@@ -373,7 +388,8 @@ def near_components(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
 
     # sets that met one centre and are in different components: one link each is enough, so likely ones come first
     wanted = unsettled(stars, reach, traits)
-    each = written(prefixes(tried.join(wanted, ["a", "b"], "left_semi"), reach), "prefixes")
+    sought = tried.join(wanted, ["a", "b"], "left_semi")
+    each = written_in_parts((prefixes(sought.filter(F.pmod(F.xxhash64("a"), F.lit(PARTS)) == k), reach) for k in range(PARTS)), "prefixes")
     likely = written(verified(likely_pairs(*both_sides(each, reach)), text, shingle, num, den), "links")
     if not likely.isEmpty():
         reach = written(components(hung(reach).unionByName(likely)), "reach")

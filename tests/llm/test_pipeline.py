@@ -8,7 +8,7 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from lodestrata.llm import bpe, secrets, toxicity
+from lodestrata.llm import bpe, common, ngram_join, secrets, toxicity
 from tests.llm.test_operators import plain_components, plain_hits
 
 DATA = "/root/testdata/sf0.001"
@@ -54,3 +54,22 @@ def test_stages_with_repeated_rows_ties_and_clashing_names(spark):
         assert now.columns == docs.columns
     assert sorted([r.doc_id or 0 for r in now.collect()]) == [0, 0, 5, 5, 8]
     assert corpus_pipeline.STAGES[-1][1](spark, now, DATA).count() == 5
+
+
+def test_near_copies_shuffle_in_parts(spark, monkeypatch):
+    """No write of near copies has all entries in its shuffle, and the tables of entries are gone when their use is over."""
+    documents = spark.createDataFrame([(i, " ".join(f"w{i // 2 * 1000 + k}" for k in range(200 + i % 2))) for i in range(60)], "doc_id long, text string")
+    seen, saved = [], common._saved
+
+    def watched(df, path, compression):
+        saved(df, path, compression)
+        name = os.path.basename(path).rsplit("-", 1)[0]
+        folder = path.removeprefix("file:").rsplit("/", 1)[0]
+        seen.append((name, spark.read.parquet(path).count() if name == "counts" else 0, [x for x in os.listdir(folder) if x.startswith("indexed-")]))
+
+    monkeypatch.setattr(common, "_saved", watched)
+    before = set(os.listdir(common.shared_dir(spark).removeprefix("file:")))
+    assert sorted(r.doc_id for r in ngram_join.keep_one(documents).collect()) == list(range(0, 60, 2))
+    counts = [n for name, n, _ in seen if name == "counts"]
+    assert len(counts) == ngram_join.PARTS and all(0 < n < sum(counts) / 2 for n in counts)
+    assert not [x for name, _, there in seen if name == "texts" for x in set(there) - before]
