@@ -232,31 +232,30 @@ def tried_members(pairs: DataFrame, text: DataFrame, shingle: int, num: int, den
 def unsettled(stars: list[DataFrame], reach: DataFrame, traits: DataFrame) -> DataFrame:
     """Pairs (a, b) of a centre and a class that may link with another class of the centre.  Two classes of which one is
     the centre of a bucket that they share have been compared, so two that link and are in different components share
-    their more than spare buckets as members, and none of these holds one component only."""
+    their more than spare buckets as members, and none of these holds one component only.  Nor does their centre."""
     met = union([x.filter("a <> d").select(F.lit(k).alias("round"), "bucket", "a", "d") for k, x in enumerate(stars)])
     members = met.join(reach, F.col("d") == F.col("node"), "left").withColumn("component", F.coalesce("component", "d"))
     mixed = members.groupBy("round", "bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("round", "bucket")
-    left = written(members.select("round", "bucket", "a", "d").join(mixed, ["round", "bucket"], "left_semi"), "unsettled")
+    left = written(members.select("round", "bucket", "a", "d", "component").join(mixed, ["round", "bucket"], "left_semi"), "unsettled")
     for _ in range(SIEVES):
         before, left = left, written(sieved(left, traits, "round"), "unsettled")
         drop(before)
-    out = written(left.select("a", F.col("d").alias("b")).distinct(), "wanted")
+    pairs = left.select("a", F.col("d").alias("b"), "component").distinct()
+    mixed = pairs.groupBy("a").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("a")
+    out = written(pairs.join(mixed, "a", "left_semi").select("a", "b"), "wanted")
     drop(left)
     return out
 
 
-def prefixes(tried: DataFrame, reach: DataFrame) -> DataFrame:
-    """Of centres whose classes are not all in one component, the differences (a, shingle, at, b, ...) that classes without
-    a link to it look for (sought), and those by which all are found, in the order of how many classes of the centre have
-    them: what the centre alone has or lacks comes last in all of them."""
-    members = tried.join(reach, F.col("b") == F.col("node"), "left").withColumn("component", F.coalesce("component", "b"))
-    mixed = members.groupBy("a").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("a")
-    kept = tried.join(mixed, "a", "left_semi")
-    single = kept.select("a", "b", F.explode("differing").alias("shingle"))
+def prefixes(tried: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Of the wanted pairs, the differences (a, shingle, at, b, ...) that classes without a link to their centre look for
+    (sought), and those by which all are found, in the order of how many classes of the centre have them: what the centre
+    alone has or lacks comes last in all of them."""
+    single = tried.join(wanted, ["a", "b"], "left_semi").select("a", "b", F.explode("differing").alias("shingle"))
     often = single.groupBy("a", "shingle").agg(F.count("*").alias("often"))
     order = Window.partitionBy("a", "b").orderBy("often", "shingle")
     placed = single.join(often, ["a", "shingle"]).withColumn("at", F.row_number().over(order) - 1)
-    each = placed.join(kept.select("a", "b", "linked", "n", "size", "indexed", "probing"), ["a", "b"])
+    each = placed.join(tried.select("a", "b", "linked", "n", "size", "indexed", "probing"), ["a", "b"])
     return each.select("a", "shingle", "at", "b", "linked", "n", "size", (F.col("at") < F.col("probing")).alias("sought"), (F.col("at") < F.col("indexed")).alias("found")).filter("sought or found")
 
 
@@ -383,20 +382,21 @@ def near_components(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
         kept = written(sieved(open_, traits), "entries")
     tried = union(rounds).filter("differing is not null")  # no pair twice
     links = tried.filter("linked").select("a", "b")
-    reach = written(components(links), "reach")
+    reach = components(links)
     reaches = [reach]
 
     # sets that met one centre and are in different components: one link each is enough, so likely ones come first
     wanted = unsettled(stars, reach, traits)
-    sought = tried.join(wanted, ["a", "b"], "left_semi")
-    each = written_in_parts((prefixes(sought.filter(F.pmod(F.xxhash64("a"), F.lit(PARTS)) == k), reach) for k in range(PARTS)), "prefixes")
+    part = F.pmod(F.xxhash64("a"), F.lit(PARTS))
+    each = written_in_parts((prefixes(tried.filter(part == k), wanted.filter(part == k)) for k in range(PARTS)), "prefixes")
     likely = written(verified(likely_pairs(*both_sides(each, reach)), text, shingle, num, den), "links")
     if not likely.isEmpty():
-        reach = written(components(hung(reach).unionByName(likely)), "reach")
+        reach = components(hung(reach).unionByName(likely))
         reaches.append(reach)
     more = written(verified(possible_pairs(*both_sides(each, reach), num, den), text, shingle, num, den), "links")
     if not more.isEmpty():
         reach = components(hung(reach).unionByName(more))
+        reaches.append(reach)
     named = classes.select("s1", "s2", "n", "d", "copies").join(reach, F.col("d") == F.col("node"), "left").filter("copies > 1 or component is not null").select("s1", "s2", "n", F.coalesce("component", "d").alias("component"))
     joined = own.select("id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
     out = written(joined.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id")), "components")

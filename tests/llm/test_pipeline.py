@@ -9,6 +9,7 @@ import tiktoken
 
 import corpus_pipeline
 from lodestrata.llm import bpe, common, ngram_join, secrets, toxicity
+from lodestrata.llm.components import components
 from tests.llm.test_operators import plain_components, plain_hits
 
 DATA = "/root/testdata/sf0.001"
@@ -73,3 +74,28 @@ def test_near_copies_shuffle_in_parts(spark, monkeypatch):
     counts = [n for name, n, _ in seen if name == "counts"]
     assert len(counts) == ngram_join.PARTS and all(0 < n < sum(counts) / 2 for n in counts)
     assert not [x for name, _, there in seen if name == "texts" for x in set(there) - before]
+
+
+def test_components_need_few_tasks_and_leave_one_table(spark):
+    """Tasks take disk as well (logs of events and executors); with many shuffle partitions and few rows they took most of it."""
+    edges = spark.createDataFrame([(k, k + 1) for k in range(0, 12)] + [(100, k) for k in range(101, 110)], "a long, b long")
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    folder = common.shared_dir(spark).removeprefix("file:")
+    there, context = set(os.listdir(folder)), spark.sparkContext
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("components", "components")
+        reach = components(edges)
+        got = {r.node: r.component for r in reach.collect()}
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {k: 0 for k in range(13)} | {k: 100 for k in range(100, 110)}
+    assert [x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - there] == ["reach"]
+    tracker = context.statusTracker()
+    stages = {i for job in tracker.getJobIdsForGroup("components") for i in tracker.getJobInfo(job).stageIds}
+    assert sum(x.numCompletedTasks for i in stages if (x := tracker.getStageInfo(i))) < 1500
+    common.drop(reach)
